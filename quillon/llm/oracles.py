@@ -1,3 +1,44 @@
 """SQL that gives the same rows, for the queries that SQL can express on whole tables."""
 
-SQL: dict[str, str] = {}
+_RESULTS = """
+rows as (
+  select distinct query_id, collection, id, distance + 0.0 as distance, rerank_score + 0.0 as rerank_score from query_results
+  where distance is not null and rerank_score is not null and not isnan(distance) and not isnan(rerank_score)),
+placed as (
+  select *, rank() over (partition by query_id, collection order by distance) as place_distance,
+    rank() over (partition by query_id order by rerank_score desc) as place_rerank_score,
+    count(*) over (partition by query_id, collection, distance) as peers_d, count(*) over (partition by query_id, collection) as n_d,
+    count(*) over (partition by query_id, rerank_score) as peers_r, count(*) over (partition by query_id) as n
+  from rows)
+"""
+_SETTINGS = """
+conf as (
+  select collection, case when chunk_size >= 1 then chunk_size else 512 end as size from (
+    select *, row_number() over (partition by collection order by updated_at desc nulls last, config_id desc) as n from index_config) where n = 1)
+"""
+_PAIRS = """
+mentions as (
+  select distinct lower(name) as name, doc from (select name, unnest(doc_ids) as doc from entities where name is not null) where doc is not null),
+sizes as (select name, count(*) as n from mentions group by name),
+total as (select count(distinct doc) as n_docs from mentions),
+pairs as (
+  select a.name as source, b.name as target, count(*) as n_ab from mentions a join mentions b on a.doc = b.doc and a.name < b.name group by 1, 2),
+scored as (
+  select source, target, n_ab, x.n as n_a, y.n as n_b, n_docs from pairs join sizes x on x.name = source join sizes y on y.name = target, total)
+"""
+
+SQL: dict[str, str] = {
+    "p1_found": f"with {_RESULTS} select distinct query_id, id from placed where place_distance <= 3 and place_rerank_score <= 3",
+    "p1_ranking": f"""with {_RESULTS},
+      scaled as (select *, (place_distance - 1 + peers_d / 2.0) / n_d as xd, (place_rerank_score - 1 + peers_r / 2.0) / n as xr from placed),
+      flows as (
+        select a.query_id, a.collection, a.id, a.distance, a.rerank_score, a.place_distance, a.place_rerank_score, a.n,
+          sum(greatest(0, least(1, (b.xd - a.xd - 0.05) / 0.45)) - greatest(0, least(1, (a.xd - b.xd - 0.05) / 0.45))) as fd,
+          sum(greatest(0, least(1, (b.xr - a.xr - 0.05) / 0.45)) - greatest(0, least(1, (a.xr - b.xr - 0.05) / 0.45))) as fr
+        from scaled a join scaled b on a.query_id is not distinct from b.query_id group by all)
+      select query_id, collection, id, place_distance, place_rerank_score,
+        round(round(case when n > 1 then (0.5 * fd + 0.5 * fr) / (n - 1) else 0 end, 9), 6) + 0.0 as net_flow from flows""",
+    "p3_found": f"with {_SETTINGS} select doc_id from documents left join conf on source = collection where length(text) > coalesce(size, 512)",
+    "p4_found": f"with {_PAIRS} select source, target from scored where n_ab >= 5 and n_ab * n_docs >= 5 * n_a * n_b",
+    "p4_pairs": f"with {_PAIRS} select source, target, n_ab, n_a, n_b, round(n_ab * n_docs / (n_a::double * n_b), 6) as lift from scored",
+}
