@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chunking, cooccurrence, format_dedup, mixing, neardup, packing, rank_fusion, vptree
+from quillon.llm import chunking, cooccurrence, format_dedup, mixing, mojibake, neardup, packing, rank_fusion, vptree
 from quillon.session import read_table
 
 
@@ -85,6 +85,14 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p9_mix(spark, sf_dir), read_table(spark, sf_dir, "source_targets"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.found_documents(read_table(spark, sf_dir, "documents"))
+
+
+def p10_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.repaired(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("p") and name[1:2].isdigit()}
 
