@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chunking, cooccurrence, format_dedup, mixing, mojibake, neardup, packing, rank_fusion, vptree
+from quillon.llm import chunking, cooccurrence, format_dedup, markup, mixing, mojibake, neardup, packing, rank_fusion, vptree
 from quillon.session import read_table
 
 
@@ -60,6 +60,14 @@ def p5_near_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_groups(read_table(spark, sf_dir, "documents"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_texts(read_table(spark, sf_dir, "documents")).where("size(kinds) > 0").select("doc_id")
+
+
+def p6_clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_texts(read_table(spark, sf_dir, "documents"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.similar_vector_pairs(read_table(spark, sf_dir, "documents"), k=5, min_cosine=0.9).select("doc_id_a", "doc_id_b")
 
