@@ -15,19 +15,20 @@ form one class, of which only the smallest doc_id is compared. Extra columns of
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import connected_components
 from quillon.session import join_hot, join_small, settle, wide
 
 LANES = 160
-#: Documents verified together; a larger candidate component is split into blocks and every pair of blocks is verified.
+#: Members up to which a bucket is verified around its smallest document.
+BUCKET = 64
+#: Documents of larger buckets are verified in blocks of this size, every block with every other one of its component.
 BLOCK = 512
 _U = np.uint64
 _table: list[np.ndarray] = []
@@ -131,7 +132,7 @@ def _unpack(b: bytes) -> np.ndarray:
     return wide_.view("<u8").ravel()
 
 
-def _sketch(shingle: int, bands: int, rows: int):
+def _sketch(shingle: int, bands: int, rows: int, lanes: int = LANES):
     kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("same", pa.binary()), ("keys", pa.list_(pa.int64())), ("elements", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +150,7 @@ def _sketch(shingle: int, bands: int, rows: int):
                 use = [i for i, s in enumerate(sets) if len(s)]
                 if use:
                     some = [sets[i] for i in use]
-                    keys = band_keys(signatures(some), bands, rows)
+                    keys = band_keys(signatures(some, lanes), bands, rows)
                     packed = [_pack(s) for s in some]
                     offsets = pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32))
                     yield pa.RecordBatch.from_arrays(
@@ -167,80 +168,118 @@ def _sketch(shingle: int, bands: int, rows: int):
     return run
 
 
+def _alike(ids: np.ndarray, block: np.ndarray, lo: int, hi: int, packed: list[bytes], threshold: float) -> list[np.ndarray]:
+    """(a, b, similarity) of the similar pairs of one group: all pairs, or those between blocks lo and hi."""
+    sets = [_unpack(b) for b in packed]
+    sizes = np.array([len(s) for s in sets], np.float32)
+    if lo != hi:
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    else:
+        left = right = np.arange(len(ids))
+    el, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
+    _, column, count = np.unique(el, return_inverse=True, return_counts=True)
+    shared = count[column] > 1  # an element of one document only adds to no intersection
+    doc, column = doc[shared], np.unique(column[shared], return_inverse=True)[1]
+    both = np.zeros((len(left), len(right)), np.float32)
+    spot = np.argsort(column, kind="stable")
+    doc, column = doc[spot], column[spot]
+    step = max(1, 8_000_000 // max(len(ids), 1))
+    top = int(column[-1]) + 1 if len(column) else 0
+    for c in range(0, top, step):
+        a, b = np.searchsorted(column, [c, c + step])
+        x = np.zeros((len(ids), min(step, top - c)), np.float32)
+        x[doc[a:b], column[a:b] - c] = 1
+        both += x[left] @ x[right].T
+    union = sizes[left][:, None] + sizes[right][None, :] - both
+    i, j = np.nonzero(both.astype(np.float64) >= threshold * union.astype(np.float64) - 1e-9)
+    sim = (both[i, j] / union[i, j]).astype(np.float64)
+    i, j = left[i], right[j]
+    keep = ids[i] < ids[j] if lo == hi else np.ones(len(i), bool)
+    i, j = ids[i[keep]], ids[j[keep]]
+    return [np.minimum(i, j), np.maximum(i, j), sim[keep]]
+
+
 def _verify(threshold: float):
-    """Exact similarity of all pairs of one group: documents of one block, or of two blocks if `other` says so."""
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids, sets = table.column("doc_id").to_numpy(), [_unpack(b) for b in table.column("elements").to_pylist()]
-        block = table.column("block").to_numpy()
-        sizes = np.array([len(s) for s in sets], np.float32)
-        if key[1].as_py() != key[2].as_py():
-            left, right = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
-        else:
-            left = right = np.arange(len(ids))
-        el, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes.astype(np.int64))
-        _, column, count = np.unique(el, return_inverse=True, return_counts=True)
-        shared = count[column] > 1  # an element of one document only adds to no intersection
-        doc, column = doc[shared], np.unique(column[shared], return_inverse=True)[1]
-        both = np.zeros((len(left), len(right)), np.float32)
-        spot = np.argsort(column, kind="stable")
-        doc, column = doc[spot], column[spot]
-        step = max(1, 8_000_000 // max(len(ids), 1))
-        top = int(column[-1]) + 1 if len(column) else 0
-        for c in range(0, top, step):
-            a, b = np.searchsorted(column, [c, c + step])
-            x = np.zeros((len(ids), min(step, top - c)), np.float32)
-            x[doc[a:b], column[a:b] - c] = 1
-            both += x[left] @ x[right].T
-        union = sizes[left][:, None] + sizes[right][None, :] - both
-        i, j = np.nonzero(both.astype(np.float64) >= threshold * union.astype(np.float64) - 1e-9)
-        i, j, sim = left[i], right[j], both[i, j] / union[i, j]
-        keep = ids[i] < ids[j] if left is right else np.ones(len(i), bool)
-        i, j, sim = i[keep], j[keep], sim[keep]
-        return pa.table({"a": pa.array(np.minimum(ids[i], ids[j])), "b": pa.array(np.maximum(ids[i], ids[j])), "similarity": pa.array(sim.astype(np.float64))})
+    """Reads rows sorted by group and yields the similar pairs of each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[list[np.ndarray]] = []
+        held: list[tuple] = []
+        key = None
+
+        def flush() -> None:
+            if len(held) > 1:
+                ids, blocks, packed = zip(*held)
+                found.append(_alike(np.array(ids, np.int64), np.array(blocks), key[2], key[3], list(packed), threshold))
+            held.clear()
+
+        def out() -> pa.RecordBatch:
+            cols = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "b", "similarity"])
+
+        for batch in batches:
+            for kind, group, lo, hi, block, doc, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if (kind, group, lo, hi) != key:
+                    flush()
+                    key = (kind, group, lo, hi)
+                held.append((doc, block, packed))
+            if len(found) > 1000:
+                yield out()
+                found = []
+        flush()
+        yield out()
 
     return run
 
 
-def similar_pairs(documents: DataFrame, threshold: float = 0.8, shingle: int = 5, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def similar_pairs(documents: DataFrame, threshold: float = 0.8, shingle: int = 5, lanes: int = LANES, bucket: int = BUCKET, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(classes, pairs). classes: doc_id, rep, the smallest doc_id with the same elements. pairs: a < b, both
     representatives, with their similarity of at least `threshold`.
 
     Copies are collapsed before anything is compared, so a class that holds a third of all rows costs one row. Each
-    bucket of a band links its members to its smallest one (members - 1 links, never all pairs); the components of
-    these links are the candidate groups. Each group is verified exactly, in blocks of bounded size."""
+    bucket of a band links its members to its smallest one (members - 1 links, never all pairs). A document and what
+    its buckets of up to `bucket` members link to it form one group, of bounded size, in which any two members of such
+    a bucket meet. Larger buckets are joined to components, which are cut into blocks of about `block` documents that
+    meet pair by pair. Each group is verified exactly. `lanes` sets the length of the signatures: more of them allow
+    longer bands, hence fewer accidental links in a larger collection."""
     spark = documents.sparkSession
-    bands, rows = banding(threshold)
+    bands, rows = banding(threshold, lanes)
     texts = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = settle(texts.mapInArrow(_sketch(shingle, bands, rows), "doc_id long, n int, same binary, keys array<long>, elements binary"))
-    groups = settle(sketch.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    copied = settle(groups.where("copies > 1"))
-    more = join_hot(sketch.select("same", "doc_id"), copied, "same", "copies", F.col("doc_id")).select("doc_id", "rep")
+    sketch = settle(texts.mapInArrow(_sketch(shingle, bands, rows, lanes), "doc_id long, n int, same binary, keys array<long>, elements binary"))
+    copied = settle(sketch.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"))
+    more = join_hot(sketch.select("same", "doc_id"), copied, "same", "copies", F.col("doc_id"))
     again = settle(more.where("doc_id <> rep").select("doc_id", "rep"))
-    single = join_small(sketch, again.select("doc_id"), "doc_id", "left_anti")
     classes = join_small(sketch.select("doc_id"), again, "doc_id", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+    single = join_small(sketch.select("doc_id", "keys"), again.select("doc_id"), "doc_id", "left_anti")
     keyed = single.select("doc_id", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("members")).where("members > 1")
-    buckets = settle(buckets)
+    buckets = settle(keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("members")).where("members > 1"))
     if buckets.count() <= 2_000_000:
         links = keyed.join(F.broadcast(buckets), "key")
     else:
         links = join_hot(keyed, buckets, "key", "members", F.col("doc_id"))
-    links = settle(links.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct())
-    labels = settle(connected_components(links))
-    sizes = labels.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = labels.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
-    # with one block its documents meet in it; with more, in every pair of blocks, of which (b, b) verifies b itself
-    placed = settle(placed.select(F.col("node").alias("doc_id"), "component", "block", F.explode(others).alias("p")).select("doc_id", "component", "block", "p.lo", "p.hi"))
-    ready = join_small(sketch.select("doc_id", "elements"), placed, "doc_id", most=2_000_000).repartition(wide(spark), "component", "lo", "hi")
-    pairs = ready.groupBy("component", "lo", "hi").applyInArrow(_verify(threshold), "a long, b long, similarity double")
-    return classes, settle(pairs)
-
-
-def near_duplicate_pairs(documents: DataFrame, threshold: float = 0.8, shingle: int = 5) -> DataFrame:
+    links = settle(links.where("doc_id <> low").groupBy(F.col("low").alias("a"), F.col("doc_id").alias("b")).agg(F.min("members").alias("least"), F.max("members").alias("most")))
+    near = links.where(F.col("least") <= bucket)
+    none = [F.lit(0).alias(c) for c in ("lo", "hi", "block")]
+    groups = near.select(F.lit(0).alias("kind"), F.col("a").alias("grp"), *none, F.col("b").alias("doc_id")).unionByName(near.select(F.lit(0).alias("kind"), F.col("a").alias("grp"), *none, F.col("a").alias("doc_id")).distinct())
+    large = links.where(F.col("most") > bucket)
+    if not large.isEmpty():
+        labels = settle(connected_components(large))
+        sizes = settle(labels.groupBy("component").agg(F.count("*").alias("members")))
+        placed = join_hot(labels, sizes, "component", "members", F.col("node"))
+        placed = placed.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
+        placed = placed.select(F.lit(1).alias("kind"), F.col("component").alias("grp"), F.col("node").alias("doc_id"), "block", F.explode(others).alias("p"))
+        groups = groups.unionByName(placed.select("kind", "grp", "p.lo", "p.hi", "block", "doc_id"))
+    key = ["kind", "grp", "lo", "hi"]
+    ready = join_small(sketch.select("doc_id", "elements"), settle(groups), "doc_id", most=2_000_000).select(*key, "block", "doc_id", "elements")
+    ready = ready.repartition(wide(spark), *key).sortWithinPartitions(*key)
+    pairs = ready.mapInArrow(_verify(threshold), "a long, b long, similarity double")
+    return classes, settle(pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
+
+
+def near_duplicate_pairs(documents: DataFrame, threshold: float = 0.8, shingle: int = 5, **more) -> DataFrame:
     """doc_id_a < doc_id_b, similarity: every pair of documents of at least the threshold, copies included."""
-    classes, pairs = similar_pairs(documents, threshold, shingle)
+    classes, pairs = similar_pairs(documents, threshold, shingle, **more)
     classes = settle(classes)
     both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other"), "similarity")
     sized = classes.groupBy("rep").agg(F.count("*").alias("members"))
@@ -251,10 +290,10 @@ def near_duplicate_pairs(documents: DataFrame, threshold: float = 0.8, shingle:
     return inner.unionByName(outer).select(F.least("p", "q").alias("doc_id_a"), F.greatest("p", "q").alias("doc_id_b"), "similarity")
 
 
-def near_duplicate_groups(documents: DataFrame, threshold: float = 0.8, shingle: int = 5) -> DataFrame:
+def near_duplicate_groups(documents: DataFrame, threshold: float = 0.8, shingle: int = 5, **more) -> DataFrame:
     """One row per document that has elements: doc_id, group_id (smallest doc_id that a chain of similar pairs leads
     to), rep (smallest doc_id with the same elements), links (similar classes other than its own), group_size."""
-    classes, pairs = similar_pairs(documents, threshold, shingle)
+    classes, pairs = similar_pairs(documents, threshold, shingle, **more)
     classes = settle(classes)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     labels = connected_components(pairs.select("a", "b")).join(ends.withColumnRenamed("rep", "node"), "node")
