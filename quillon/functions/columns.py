@@ -16,6 +16,11 @@ def strip(text: Column | str) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value evaluated once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def words(text: Column | str) -> Column:
     """Lower-case words between white space; a blank text has none, null stays null."""
     return F.filter(F.split(strip(F.lower(text)), _SPACE), lambda w: w != "")

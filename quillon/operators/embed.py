@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.columns import content_id, words
+from quillon.functions.columns import content_id, let, words
 
 
 @runtime_checkable
@@ -34,10 +34,11 @@ class _Batched:
 
 def hashed_vector(text: Column | str, dim: int = 64) -> Column:
     """Word counts in `dim` buckets by hash, scaled to unit length; all zero for a text without words."""
-    buckets = F.transform(words(text), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(buckets, lambda b: b == d)).cast("double"))
-    size = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda c: F.when(size > 0, c / size).otherwise(F.lit(0.0)))
+    bucket = lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
+    count = lambda held: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: (F.size(held) - F.size(F.array_remove(held, d))).cast("double"))
+    size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    scaled = lambda c: let(size(c), lambda z: F.transform(c, lambda x: F.when(z > 0, x / z).otherwise(F.lit(0.0))))
+    return let(F.transform(words(text), bucket), lambda held: let(count(held), scaled))
 
 
 class HashingBackend(_Batched):

@@ -36,7 +36,7 @@ def bm25(rows: DataFrame, query: str, key: str = "id", text: str = "text") -> Da
     tokens = words(F.coalesce(F.col(text), F.lit("")))
     terms = sorted(set(wanted))
     # one pass: length and counts of each query word, kept in columns of arrays; no shuffle
-    counted = rows.select(F.col(key), tokens.alias("_w")).select(key, F.size("_w").alias("length"), F.array(*[F.size(F.filter("_w", lambda w, t=t: w == t)) for t in terms]).alias("tf") if terms else F.array().cast("array<int>").alias("tf"))
+    counted = rows.select(F.col(key), tokens.alias("_w")).select(key, F.size("_w").alias("length"), F.array(*[F.size("_w") - F.size(F.array_remove("_w", F.lit(t))) for t in terms]).alias("tf") if terms else F.array().cast("array<int>").alias("tf"))
     if not terms:
         return counted.select(key, F.lit(0.0).alias("score"))
     stats = statistics(rows, key, text)

@@ -177,21 +177,22 @@ _WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{20
 _STRIP = lambda x: f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
 
 
+# position (from 1) of the last newline in the window of 512 characters after st, 0 without one
+_LAST = "(select case when contains(x, chr(10)) then length(x) - length(string_split(x, chr(10))[-1]) else 0 end from (select substr(d.text, w.st + 1, 512) as x))"
+
+
 @query(
     "split_chars",
     f"""with recursive docs as (select doc_id, text, length(text) as n from documents where text is not null and length({_STRIP("text")}) > 0),
     w as (
-      select doc_id, 0 as st, 0 as ord, least(512, n) as probe from docs where n > 512
+      select doc_id, 0 as st, 0 as ord from docs where n > 512
       union all
-      select doc_id, nx, ord + 1, 0 from (
-        select w.doc_id, w.ord, d.n, (case when w.st + 512 < d.n and p > 0 and w.st + p + 1 - 64 > w.st then w.st + p + 1 else w.st + 512 end) - 64 as nx
-        from (select w.*, 512 - instr(reverse(substr(d.text, w.st + 1, 512)), chr(10)) as p0, instr(reverse(substr(d.text, w.st + 1, 512)), chr(10)) as found from w join docs d using (doc_id)) w
-        join docs d using (doc_id), lateral (select case when w.found = 0 then -1 else w.p0 end as p)) where nx < n),
-    cut as (
-      select w.doc_id, w.ord, d.text, w.st, case when w.st + 512 < d.n and i > 0 and 512 - i > 0 and 512 - i + 1 - 64 > 0 then w.st + 512 - i + 1 else w.st + 512 end as en
-      from w join docs d using (doc_id), lateral (select instr(reverse(substr(d.text, w.st + 1, 512)), chr(10)) as i)),
+      select doc_id, nx, ord + 1 from (
+        select doc_id, ord, n, st + (case when st + 512 < n and p > 64 then p else 512 end) - 64 as nx from (select w.doc_id, w.st, w.ord, d.n, {_LAST} as p from w join docs d using (doc_id)))
+      where nx < n),
     pieces as (
-      select doc_id, ord, {_STRIP("substr(text, st + 1, en - st)")} as piece from cut
+      select doc_id, ord, {_STRIP("substr(text, st + 1, case when st + 512 < n and p > 64 then p else 512 end)")} as piece
+      from (select w.doc_id, w.st, w.ord, d.n, d.text, {_LAST} as p from w join docs d using (doc_id))
       union all select doc_id, 0, text from docs where n <= 512)
     select doc_id, row_number() over (partition by doc_id order by ord) - 1 as chunk_index, length(piece) as chars, sha256(piece) as id from pieces where piece <> ''""",
 )
