@@ -27,8 +27,9 @@ FIELD = "(?s)^\\s*[\\p{L}\\p{N}][\\p{L}\\p{N}\\p{M} _./-]{0,60}\\s*:.*$"
 
 
 def canonical(text: Column) -> Column:
-    """Letters and digits only, without case; upper before lower, so that ß and SS agree."""
-    return F.lower(F.upper(F.regexp_replace(text, "[^\\p{L}\\p{N}]+", "")))
+    """Letters and digits only, without case; upper before lower, so that ß and SS agree. (The removal stands between
+    the two, since the optimizer drops an upper directly inside a lower.)"""
+    return F.lower(F.regexp_replace(F.upper(text), "[^\\p{L}\\p{N}]+", ""))
 
 
 def fields_of(text: Column) -> Column:

@@ -216,7 +216,7 @@ def nearest(documents: DataFrame, k: int = 5, min_cosine: float | None = None, f
         ids = base["doc_id"].to_numpy()
         asked = pdf[pdf["kind"] == 1] if visitors else base[base["ask"]]
         if not len(asked) or not len(ids):
-            return pd.DataFrame({"doc_id": [], "v": [], "near": [], "sim": []})
+            return pd.DataFrame({"doc_id": np.empty(0, np.int64), "v": pd.Series([], dtype=object), "near": pd.Series([], dtype=object), "sim": pd.Series([], dtype=object)})
         q = _stack(asked["v"])
         who = asked["doc_id"].to_numpy()
         spot = np.searchsorted(ids, who)
