@@ -23,7 +23,7 @@ def let(value: Column, use) -> Column:
 
 def words(text: Column | str) -> Column:
     """Lower-case words between white space; a blank text has none, null stays null."""
-    return F.filter(F.split(strip(F.lower(text)), _SPACE), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), _SPACE), "")
 
 
 def content_id(text: Column | str) -> Column:

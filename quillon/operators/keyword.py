@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.columns import words
+from quillon.functions.columns import let, words
+from quillon.session import settle
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -19,7 +20,13 @@ def postings(rows: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
 def statistics(rows: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """One row: documents, avg_length, terms, mean_idf (over the vocabulary, before negative values are lifted)."""
     sizes = rows.select(F.size(words(F.coalesce(F.col(text), F.lit("")))).alias("length")).agg(F.count("*").alias("documents"), F.avg("length").alias("avg_length"))
-    df = postings(rows, key, text).groupBy("term").agg(F.count("*").alias("df"))
+    return _with_vocabulary(sizes, rows, text)
+
+
+def _with_vocabulary(sizes: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """Adds terms and mean_idf to the one row of sizes."""
+    own = F.explode(F.array_distinct(words(F.coalesce(F.col(text), F.lit("")))))
+    df = rows.select(own.alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     counts = df.groupBy("df").agg(F.count("*").alias("terms"))  # few rows: one per document frequency
     both = counts.join(F.broadcast(sizes), how="left")
     idf = F.log(F.col("documents") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
@@ -32,16 +39,15 @@ def bm25(rows: DataFrame, query: str, key: str = "id", text: str = "text") -> Da
     so a filter applied before it counts. Only the query's words leave the scan: each row is reduced to its counts of
     them before anything is shuffled. Null texts are empty."""
     wanted = query.lower().split()
-    spark = rows.sparkSession
-    tokens = words(F.coalesce(F.col(text), F.lit("")))
     terms = sorted(set(wanted))
-    # one pass: length and counts of each query word, kept in columns of arrays; no shuffle
-    counted = rows.select(F.col(key), tokens.alias("_w")).select(key, F.size("_w").alias("length"), F.array(*[F.size("_w") - F.size(F.array_remove("_w", F.lit(t))) for t in terms]).alias("tf") if terms else F.array().cast("array<int>").alias("tf"))
+    counts = lambda w: F.struct(F.size(w).alias("length"), F.array(*[F.size(w) - F.size(F.array_remove(w, F.lit(t))) for t in terms]).cast("array<int>").alias("tf"))
+    # one pass over the texts leaves a length and a few counts of each row
+    counted = settle(rows.select(key, let(words(F.coalesce(F.col(text), F.lit(""))), counts).alias("c")).select(key, "c.length", "c.tf"))
     if not terms:
         return counted.select(key, F.lit(0.0).alias("score"))
-    stats = statistics(rows, key, text)
-    dfs = counted.agg(F.array(*[F.sum(F.when(F.col("tf")[i] > 0, 1).otherwise(0)) for i in range(len(terms))]).alias("dfs"))
-    one = stats.join(F.broadcast(dfs), how="left")  # single rows
+    hits = F.array(*[F.count(F.when(F.col("tf")[i] > 0, 1)) for i in range(len(terms))])
+    sizes = counted.agg(F.count("*").alias("documents"), F.avg("length").alias("avg_length"), hits.alias("dfs"))
+    one = _with_vocabulary(sizes, rows, text)  # a single row
     score = F.lit(0.0)
     for i, term in enumerate(terms):
         df, tf = F.col("dfs")[i], F.col("tf")[i]
@@ -58,8 +64,6 @@ def ranks(scored: DataFrame, order: list[Column], most: int | None = None) -> Da
     if most is not None:
         top = scored.orderBy(*order).limit(most)
         return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
-    from quillon.session import settle
-
     placed = settle(scored.orderBy(*order).withColumn("_part", F.spark_partition_id()))
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")

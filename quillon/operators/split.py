@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.columns import content_id, cosine, strip, words
+from quillon.functions.columns import content_id, cosine, let, strip
 
 
 def character_windows(text: str, size: int, overlap: int, separator: str = "\n", drop_tail: bool = False) -> list[str]:
@@ -71,7 +71,7 @@ def split_tokens(documents: DataFrame, size: int = 256, overlap: int = 32) -> Da
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and below size")
     tokens = F.split(strip("text"), r"(?U)\s+")
-    return _rows(documents, token_windows(tokens, F.col("text"), size, overlap), "tokens")
+    return _rows(documents, let(tokens, lambda t: token_windows(t, F.col("text"), size, overlap)), "tokens")
 
 
 def split_encoded(documents: DataFrame, load, size: int = 256, overlap: int = 32) -> DataFrame:
