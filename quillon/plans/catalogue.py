@@ -352,7 +352,7 @@ _MENTIONS = f"""men as (
 
 
 def _mentions(spark, sf):
-    """Texts of ASCII only, where all engines agree on what a word's edge is."""
+    """Texts of ASCII only, as in the SQL, since all engines agree there on what a word's edge is; the _all queries read every text."""
     return graph.entity_mentions(_documents(spark, sf).where("text rlike '^[\\\\x00-\\\\x7F]*$' and not text rlike '[^\\\\x00-\\\\x7F]'"))
 
 
@@ -377,6 +377,26 @@ def entity_edges(spark, sf):
     return graph.graph_edges(_mentions(spark, sf), doc_ids=False)
 
 
+def _all_mentions(spark, sf):
+    """Every text that isn't null. The engines differ here on what a word's edge is, so these queries have no SQL."""
+    return graph.entity_mentions(_documents(spark, sf))
+
+
+@query("entities_extracted_all")
+def entities_extracted_all(spark, sf):
+    return _all_mentions(spark, sf).groupBy(F.col("id").cast("long").alias("doc_id")).agg(F.count("*").alias("mentions"), F.countDistinct("key").alias("keys"))
+
+
+@query("entity_nodes_all")
+def entity_nodes_all(spark, sf):
+    return graph.graph_nodes(_all_mentions(spark, sf)).select("key", "name", "documents")
+
+
+@query("entity_edges_all")
+def entity_edges_all(spark, sf):
+    return graph.graph_edges(_all_mentions(spark, sf), doc_ids=False)
+
+
 @query(
     "graph_nodes_listed",
     """select lower(name) as key, max(upper(entity_type)) as type, count(distinct d) as documents from (

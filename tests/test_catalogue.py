@@ -4,6 +4,7 @@ import glob
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 duckdb = pytest.importorskip("duckdb")
 from quillon.plans.catalogue import QUERIES, SQL  # noqa: E402
@@ -32,3 +33,31 @@ def test_query(spark, tables, name):
     if name in SQL:
         want = tables.execute(SQL[name])
         assert plain(df.columns, rows) == plain([c[0] for c in want.description], want.fetchall())
+
+
+def write_documents(spark, folder, texts):
+    rest = {c: F.lit(None).cast(t) for c, t in (("metadata", "map<string,string>"), ("lang", "string"), ("source", "string"), ("embedding", "array<float>"))}
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns(rest).write.parquet(f"{folder}/documents.parquet")
+
+
+def test_entities_of_all_texts(spark, tmp_path):
+    """Against brute force; umlauts, dashes and no-break spaces keep no text out."""
+    import re
+    from collections import Counter
+    from itertools import combinations
+
+    from quillon.operators.graph import STOP
+
+    texts = ["Alice met Bob.", "Zoë and Alice – Bob Marley, née Müller, in Zürich.", "Éva saw New York and Alice", "The naïve Bob… Alice's Bob", "", None, "ключ Carol_x Dave"]
+    write_documents(spark, tmp_path, texts)
+    found = {i: [e for e in re.findall(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b", t) if len(e) >= 2 and e not in STOP] for i, t in enumerate(texts) if t}
+    keys = {i: sorted({e.lower() for e in es}) for i, es in found.items() if es}
+    assert {(r.doc_id, r.mentions, r["keys"]) for r in QUERIES["entities_extracted_all"](spark, str(tmp_path)).collect()} == {(i, len(found[i]), len(ks)) for i, ks in keys.items()}
+    first = {}
+    for i in sorted(found):
+        for e in found[i]:
+            first.setdefault(e.lower(), e)
+    count = Counter(k for ks in keys.values() for k in ks)
+    assert {(r.key, r["name"], r.documents) for r in QUERIES["entity_nodes_all"](spark, str(tmp_path)).collect()} == {(k, first[k], n) for k, n in count.items()}
+    pairs = Counter(p for ks in keys.values() for p in combinations(ks, 2))
+    assert {(r.src, r.dst, r.weight) for r in QUERIES["entity_edges_all"](spark, str(tmp_path)).collect()} == {(*p, n) for p, n in pairs.items()}
