@@ -4,8 +4,12 @@ Every distinct word with a character beyond ASCII, and every distinct such chara
 under all chains of wrong decoding below. The pieces of the documents' tokens are joined to this table by equality; a hit
 names the original and the chain. Single characters count only with forms of two or more characters, or with the
 replacement character; forms that are but another letter (one single-byte code page read as another, or lost bytes)
-count for whole words only, and only where the original is in more documents than the garbled form: that the corpus
-itself uses the original is what verifies it. What is left of a lost original (U+FFFD) is reported without one.
+count for whole words only: that the corpus itself uses the original is what verifies it. Where the form can't be read
+as it stands (letters of two scripts, a capital behind a small letter, signs between letters) and the original is a
+word without signs that can, this is enough; otherwise the original must be in more distinct texts than the form, so
+that copies of a text weigh nothing (a text counts once for each of its tokens with the word). A readable form of an
+unreadable original is sound. Near copies with other texts still weigh where both can be read (ń for ñ).
+What is left of a lost original (U+FFFD) is reported without one.
 
 Character references are read as the characters they stand for. A sequence that stands alone between double quotation
 marks is an example somebody quotes, not a case.
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -94,6 +99,26 @@ def forms(word: str) -> dict[str, str]:
     return out
 
 
+#: Categories of characters that don't stand between two letters of a word; punctuation may.
+_SIGNS = ("Sm", "So", "Sk", "Sc", "No")
+
+
+def readable(word: str) -> bool:
+    """False if no writer means the word as it stands. U+FFFD says nothing here."""
+    letters = [c for c in word if c.isalpha()]
+    scripts = {n for c in letters if (n := unicodedata.name(c, "").split(" ")[0]) in ("LATIN", "CYRILLIC", "GREEK")}
+    if {"LATIN", "CYRILLIC"} <= scripts or len(scripts) > 1 and len(letters) > 2:  # two letters may be a formula
+        return False
+    if len(letters) > 2 and scripts == {"LATIN"} and not any(c.isascii() for c in letters):
+        return False
+    for a, b, c in zip(word, word[1:], f"{word[2:]} "):
+        if a.islower() and b.isupper() and not b.isascii():
+            return False
+        if len(letters) > 2 and a.isalpha() and c.isalpha() and (b in "ªº" or unicodedata.category(b) in _SIGNS) and b != "�":
+            return False
+    return True
+
+
 def pieces(token: str) -> set[str]:
     """What is looked up of a token: its words, and the substrings of its runs beyond ASCII that one character can become."""
     out = words_of(token)
@@ -152,8 +177,17 @@ def _split_token(row: tuple) -> Iterator[tuple]:
 def _forms_row(row: tuple) -> Iterator[tuple]:
     word, docs = row
     if len(word) == 1 or sum(c.isalpha() for c in word) >= 3:
+        sound = readable(word) * (2 if len(word) == 1 or _WORD.fullmatch(word) else 1)
         for g, chain in forms(word).items():
-            yield word, docs, g, chain
+            yield word, docs, sound, g, chain
+
+
+def _read_row(row: tuple) -> Iterator[tuple]:
+    piece, original, sound, in_docs, docs, chain = row
+    lost = "�" in piece
+    bad = not lost and not readable(piece)
+    if len(original) == 1 or (sound == 2 and bad) or (in_docs > docs and (sound or bad or lost)):
+        yield piece, original, chain, docs
 
 
 def _restore_row(row: tuple) -> Iterator[tuple]:
@@ -170,32 +204,34 @@ def _restore_row(row: tuple) -> Iterator[tuple]:
 
 
 def _string(*names: str) -> list[tuple[str, pa.DataType]]:
-    return [(n, pa.int64() if n in ("docs", "code") else pa.string()) for n in names]
+    return [(n, pa.int64() if n in ("docs", "code", "sound", "uses") else pa.string()) for n in names]
 
 
 def garbled_tokens(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(occurrences, garbled). occurrences: doc_id, token (with a character beyond ASCII or a reference), each once.
     garbled: token, restored (may hold U+FFFD where the original is lost), chain."""
     text = F.regexp_replace("text", QUOTED, " ")
-    seen = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))).alias("token"))
+    seen = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))).alias("token"), F.xxhash64("text").alias("content"))
     seen = settle(seen)
-    tokens = settle(seen.groupBy("token").agg(F.count("*").alias("docs")).withColumn("code", F.monotonically_increasing_id()).select("code", "token", "docs"))
+    texts = seen.select("token", "content").distinct()  # copies of a text count once
+    tokens = settle(texts.groupBy("token").agg(F.count("*").alias("docs")).withColumn("code", F.monotonically_increasing_id()).select("code", "token", "docs"))
     parts = settle(tokens.mapInArrow(_batched(_split_token, _string("code", "docs", "part", "kind")), "code long, docs long, part string, kind string"))
     units = parts.where("kind <> 'piece'").groupBy("part").agg(F.sum("docs").alias("docs"))
-    table = settle(units.mapInArrow(_batched(_forms_row, _string("original", "docs", "piece", "chain")), "original string, docs long, piece string, chain string"))
-    # one original for each garbled form: the one that most documents use
-    best = table.groupBy("piece").agg(F.max(F.struct("docs", "original", "chain")).alias("b")).select("piece", F.col("b.original").alias("original"), F.col("b.docs").alias("in_docs"), F.col("b.chain").alias("chain"))
+    table = settle(units.mapInArrow(_batched(_forms_row, _string("original", "docs", "sound", "piece", "chain")), "original string, docs long, sound long, piece string, chain string"))
+    # one original for each garbled form: of the words that can be read (beside lost characters of all), the one that most texts use
+    rank = F.when(F.col("piece").contains("�"), F.least("sound", F.lit(1))).otherwise(F.col("sound")).alias("rank")
+    best = table.groupBy("piece").agg(F.max(F.struct(rank, "docs", "sound", "original", "chain")).alias("b")).select("piece", F.col("b.original").alias("original"), F.col("b.sound").alias("sound"), F.col("b.docs").alias("in_docs"), F.col("b.chain").alias("chain"))
     best = settle(best)
     use = parts.where("kind = 'piece'").groupBy("part").agg(F.sum("docs").alias("docs")).withColumnRenamed("part", "piece")
-    known = best.join(use, "piece").where((F.length("original") == 1) | (F.col("in_docs") > F.col("docs")))
-    known = settle(known.withColumn("uses", F.col("docs")).select("piece", "original", "chain", "uses"))
+    known = best.join(use, "piece").select("piece", "original", "sound", "in_docs", "docs", "chain")
+    known = settle(known.mapInArrow(_batched(_read_row, _string("piece", "original", "chain", "uses")), "piece string, original string, chain string, uses long"))
     hits = join_hot(parts.where("kind = 'piece'").select("code", F.col("part").alias("piece")), known, "piece", "uses", F.col("code"))
     hits = settle(hits.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("piece", "original", "chain"))).alias("hits")))
     hits = join_small(tokens, hits, "code").select("token", "hits")
     found = hits.mapInArrow(_batched(_restore_row, _string("token", "restored", "chain")), "token string, restored string, chain string")
     lost = tokens.where(F.col("token").contains("�")).select("token", F.col("token").alias("restored"), F.lit("lost").alias("chain"))
     garbled = settle(found.where("restored <> token"))
-    return seen, settle(garbled.unionByName(lost.join(garbled.select("token"), "token", "left_anti")))
+    return seen.drop("content"), settle(garbled.unionByName(lost.join(garbled.select("token"), "token", "left_anti")))
 
 
 def found_documents(documents: DataFrame) -> DataFrame:

@@ -408,6 +408,21 @@ def test_mojibake(spark):
     assert mojibake.found_documents(docs(spark, {})).collect() == []
 
 
+def test_mojibake_of_copied_texts(spark):
+    """Copies of a garbled text outnumber the originals; once garbled and once clean is a tie."""
+    swap = lambda t, a, b: t.encode(a).decode(b)
+    clean = {1: "La evaluación del niño.", 2: "una naïveté", 3: "Der Schlüssel, ключ и дверь"}
+    hot = {100 + i: swap("Otra evaluación", "cp1252", "cp1251") for i in range(9)}
+    once = {10: swap("naïveté seule", "cp1252", "mac_roman"), 11: swap("мой ключ", "cp1251", "cp1252"), 12: swap("nueva evaluación", "cp1252", "cp850")}
+    found = {r.doc_id for r in mojibake.found_documents(docs(spark, clean | hot | once)).collect()}
+    assert found == {*hot, *once}
+    fixed = {r.doc_id: r.text for r in mojibake.repaired(docs(spark, clean | hot | once)).collect()}
+    assert fixed[100] == "Otra evaluación" and fixed[10] == "naïveté seule" and "ключ" in fixed[11] and fixed[12] == "nueva evaluación"
+    # both can be read: what more distinct texts use is right, however often one is copied
+    pairs = {1: "cañón uno", 2: "cañón dos", 3: "cańón"} | {10 + i: "cańón" for i in range(9)}
+    assert {r.doc_id for r in mojibake.found_documents(docs(spark, pairs)).collect()} == {3, *range(10, 19)}
+
+
 def test_found_queries_on_sample_tables(spark):
     """Every query runs on the smallest tables."""
     from quillon.llm.queries import queries
