@@ -7,6 +7,7 @@ placeholders ({x}), footnote numbers ([89]), issue numbers (#12), names with und
 
 from __future__ import annotations
 
+import json
 import re
 from html.entities import html5
 
@@ -83,9 +84,19 @@ def has_html(text: str) -> bool:
     return "&" in text and any(not m[1] or m[1] + ";" in html5 for m in REFERENCE.finditer(text))
 
 
+def _parses(text: str) -> bool:
+    try:
+        json.loads(text)
+    except (ValueError, RecursionError):
+        return False
+    return True
+
+
 def is_data(text: str) -> bool:
-    """JSON and rows of comma-separated values hold no markup of their own."""
-    return bool(re.match(r"\s*(?:\{\s*\"|\[\s*[{\"\[])", text)) and text.rstrip()[-1:] in "}]"
+    """JSON, also one value a line, holds no markup of its own; what only looks like it (a wiki page from [[File:...]] to {{stub}}) may."""
+    if not re.match(r"\s*(?:\{\s*\"|\[\s*[{\"\[])", text) or text.rstrip()[-1:] not in ("}", "]"):
+        return False
+    return _parses(text) or all(_parses(line) for line in text.split("\n") if line.strip())
 
 
 def kinds(text: str) -> list[str]:

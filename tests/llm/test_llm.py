@@ -269,6 +269,15 @@ def test_clean_texts(spark):
     assert rows == {1: (["html"], "a\nb"), 3: ([], ""), 4: ([], "plain")}
 
 
+def test_wiki_page_that_looks_like_json(spark):
+    page = "[[File:Oak.jpg|thumb|An oak]]\n'''Oak''' is a [[tree]].\n[[Category:Trees]]"
+    stub = "[[File:Elm.jpg]]\nThe [[elm]] is a tree.\n{{stub}}"
+    data = ['[["[[a]]", 1], ["{{b}}", 2]]', '[{"a": "[[b]]"}]', '{"a": "# [[b]] $x_1$"}\n{"a": "[[c]]"}']
+    rows = {r.doc_id: r for r in markup.clean_texts(docs(spark, [page, stub, *data])).collect()}
+    assert "wiki" in rows[0].kinds and "wiki" in rows[1].kinds and "[[" not in rows[0].text + rows[1].text
+    assert not any(rows[i].kinds or rows[i].text != data[i - 2] for i in (2, 3, 4))
+
+
 # --- p7
 
 
