@@ -61,3 +61,9 @@ def test_entities_of_all_texts(spark, tmp_path):
     assert {(r.key, r["name"], r.documents) for r in QUERIES["entity_nodes_all"](spark, str(tmp_path)).collect()} == {(k, first[k], n) for k, n in count.items()}
     pairs = Counter(p for ks in keys.values() for p in combinations(ks, 2))
     assert {(r.src, r.dst, r.weight) for r in QUERIES["entity_edges_all"](spark, str(tmp_path)).collect()} == {(*p, n) for p, n in pairs.items()}
+
+
+def test_html_text_of_all_texts(spark, tmp_path):
+    texts = ["<table><tr><td>a</td></tr></table>", "<ul><li>b</li></ul>", "<h2>c</h2>", "<code>d</code>", "<p>e</p>", "plain f", "", None]
+    write_documents(spark, tmp_path, texts)
+    assert {(r.doc_id, r.text) for r in QUERIES["html_text"](spark, str(tmp_path)).collect()} == {(0, "a"), (1, "b"), (2, "c"), (3, "d"), (4, "e"), (5, "plain f"), (6, "")}
