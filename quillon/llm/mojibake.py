@@ -9,6 +9,9 @@ as it stands (letters of two scripts, a capital behind a small letter, signs bet
 word without signs that can, this is enough; otherwise the original must be in more distinct texts than the form, so
 that copies of a text weigh nothing (a text counts once for each of its tokens with the word). A readable form of an
 unreadable original is sound. Near copies with other texts still weigh where both can be read (ń for ñ).
+Words of fewer than three letters count only in forms that can't be read (lа for là, with a Cyrillic а), as many others
+are words or formulas of their own (σt for åt); single letters as words never. Words of more than 24 characters count
+only for forms of one character each; their UTF-8 forms are found by the single characters.
 What is left of a lost original (U+FFFD) is reported without one.
 
 Character references are read as the characters they stand for. A sequence that stands alone between double quotation
@@ -71,6 +74,8 @@ CHAINS = _chains()
 #: The characters that bytes beyond ASCII become; a garbled form has no others, and begins with what a lead byte becomes.
 HIGH = frozenset(_read(bytes([b]), p, u) for p in PAGES for b in range(0x80, 0x100) for u in ("control", "mark", "drop"))
 LEAD = frozenset(_read(bytes([b]), p, "control") for p in PAGES for b in range(0xC2, 0xF5))
+#: Characters that a single-byte code page taken for another, or for UTF-8, can have had.
+_SWAPPED = frozenset(bytes([b]).decode(a, "ignore") for b in range(256) for a in ("cp1251", "cp1252", "cp437", "cp850", "mac_roman"))
 _WORD = re.compile(r"(?:[^\W_]|[̀-ͯ’'])+")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 
@@ -85,13 +90,13 @@ def forms(word: str) -> dict[str, str]:
     out: dict[str, str] = {}
     single = len(word) == 1
     for name, chars, garble in CHAINS:
-        if single and not chars:
+        if not chars if single else chars and len(word) > 2 * LONGEST:
             continue
         try:
             g = garble(word)
         except (UnicodeEncodeError, UnicodeDecodeError):
             continue
-        if g == word or g.isascii() or len(g) > 8 * LONGEST:
+        if g == word or g.isascii() or chars and len(g) > 8 * LONGEST:
             continue
         if single and len(g) < 2:
             continue
@@ -165,18 +170,18 @@ def _split_token(row: tuple) -> Iterator[tuple]:
     if clean.isascii():
         return
     for w in words_of(clean):
-        if len(w) <= 2 * LONGEST:
+        if len(w) <= 2 * LONGEST or _SWAPPED.issuperset(w):
             yield code, docs, w, "word"
     for c in {c for c in clean if ord(c) > 127}:
         yield code, docs, c, "char"
     for p in pieces(clean):
-        if len(p) <= 8 * LONGEST:
+        if len(p) <= 8 * LONGEST or HIGH.issuperset(c for c in p if ord(c) > 127):
             yield code, docs, p, "piece"
 
 
 def _forms_row(row: tuple) -> Iterator[tuple]:
     word, docs = row
-    if len(word) == 1 or sum(c.isalpha() for c in word) >= 3:
+    if any(c.isalpha() for c in word) or len(word) == 1:
         sound = readable(word) * (2 if len(word) == 1 or _WORD.fullmatch(word) else 1)
         for g, chain in forms(word).items():
             yield word, docs, sound, g, chain
@@ -186,7 +191,8 @@ def _read_row(row: tuple) -> Iterator[tuple]:
     piece, original, sound, in_docs, docs, chain = row
     lost = "�" in piece
     bad = not lost and not readable(piece)
-    if len(original) == 1 or (sound == 2 and bad) or (in_docs > docs and (sound or bad or lost)):
+    short = sum(c.isalpha() for c in original) < 3  # many of their forms are other words or formulas: åt, σt
+    if len(original) == 1 or (sound == 2 and bad) or (not short and in_docs > docs and (sound or bad or lost)):
         yield piece, original, chain, docs
 
 

@@ -432,6 +432,15 @@ def test_mojibake_of_copied_texts(spark):
     assert {r.doc_id for r in mojibake.found_documents(docs(spark, pairs)).collect()} == {3, *range(10, 19)}
 
 
+def test_mojibake_of_short_and_long_words(spark):
+    swap = lambda t: t.encode("cp1252").decode("cp1251")
+    long = "Überschallgeschwindigkeitsflugzeugträger"
+    assert len(long) > 24
+    texts = {1: "où là", 2: long, 3: "åt pH σt", 4: long + long.lower() * 2, 10: swap("où"), 11: swap("là"), 12: swap(long), 13: swap(long + long.lower() * 2)}
+    fixed = {r.doc_id: r.text for r in mojibake.repaired(docs(spark, texts)).collect()}
+    assert fixed == {10: "où", 11: "là", 12: long, 13: long + long.lower() * 2}
+
+
 def test_found_queries_on_sample_tables(spark):
     """Every query runs on the smallest tables."""
     from quillon.llm.queries import queries
