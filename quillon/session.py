@@ -9,8 +9,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a lookup side may be broadcast; its rows are small, so this is a few tens of MB.
+#: A lookup side is broadcast only up to this number of rows and this size (Spark's own estimate of its plan, in bytes).
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32_000_000
 #: A key with more rows than this is hot and gets salted.
 HOT_ROWS = 200_000
 
@@ -43,7 +44,24 @@ def settle(df: DataFrame) -> DataFrame:
     if not _written:
         atexit.register(sweep)
     _written.append((spark, path))
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def free(*frames: DataFrame) -> None:
+    """Delete the files of settled frames whose readers have all been settled themselves."""
+    for df in frames:
+        path = getattr(df, "_settled", None)
+        entry = next((e for e in _written if e[1] == path), None)
+        if entry:
+            _written.remove(entry)
+            _delete(*entry)
 
 
 def sweep() -> None:
@@ -51,8 +69,7 @@ def sweep() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the session may be gone already
             pass
 
@@ -62,10 +79,15 @@ def wide(spark: SparkSession, least: int = 0) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, least)
 
 
+def size_of(df: DataFrame) -> int:
+    """Bytes of df by Spark's estimate, which for settled frames follows the size of their files; unknown sizes are huge."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
 def join_small(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a settled right side of small rows: broadcast if its counted rows are at most `most`, else a shuffle
-    join, whose skewed partitions AQE splits."""
-    if right.count() <= most:
+    """Join with a settled right side: broadcast if its counted rows are at most `most` and its size at most
+    BROADCAST_BYTES, else a shuffle join, whose skewed partitions AQE splits."""
+    if size_of(right) <= BROADCAST_BYTES and right.count() <= most:
         right = F.broadcast(right)
     return left.join(right, on, how)
 
