@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import chunking, cooccurrence, format_dedup, markup, mixing, mojibake, neardup, packing, rank_fusion, vptree
-from quillon.session import read_table
+from quillon.session import read_table, settle
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = rank_fusion.outranking(read_table(spark, sf_dir, "query_results"))
+    """The ranking is computed in full and written, so the places come out of the same rows as the net flows."""
+    ranked = settle(rank_fusion.outranking(read_table(spark, sf_dir, "query_results")))
     return ranked.where("place_distance <= 3 and place_rerank_score <= 3").select("query_id", "id").distinct()
 
 

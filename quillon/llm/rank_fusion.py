@@ -32,7 +32,7 @@ _KEYS = ["query_id", "collection", "id", "distance", "rerank_score"]
 _AT = {"below_strict": -1, "below": -1, "above": 1, "above_strict": 1}
 
 
-def _flow(x: str, n: Column, total: Column, c: dict[str, Column], s: dict[str, Column], q: float, p: float) -> Column:
+def _flow(x: str, n: Column, c: dict[str, Column], s: dict[str, Column], q: float, p: float) -> Column:
     """Net flow of one score from counts c and sums s of the percentiles up to the four thresholds; a small x is good."""
     at = F.col(x)
     # rows better than this one by more than q are those with percentiles below x - q
@@ -61,19 +61,18 @@ def _by_windows(rows: DataFrame, q: float, p: float, weights: list[float]) -> Da
             rows = rows.withColumn(f"_c_{tag}", F.expr(f"count(*) {frame}")).withColumn(f"_s_{tag}", F.expr(f"coalesce(sum({x}) {frame}, 0D)"))
             c[tag], s[tag] = F.col(f"_c_{tag}"), F.col(f"_s_{tag}")
         rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy("query_id")))
-        rows = rows.withColumn(f"flow_{name}", _flow(x, F.col("_n"), F.lit(0), c, s, q, p)).drop("_n", *[f"_{k}_{t}" for k in "cs" for t in _AT])
+        rows = rows.withColumn(f"flow_{name}", _flow(x, F.col("_n"), c, s, q, p)).drop("_n", *[f"_{k}_{t}" for k in "cs" for t in _AT])
         net.append(F.col(f"flow_{name}") * weight)
     rows = rows.withColumn("net_flow", F.round(reduce(Column.__add__, net), 9) + F.lit(0.0))
     return rows.withColumn("rank", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc("net_flow"))))
 
 
-def _cumulative(values: DataFrame, keys: list[str], probes: DataFrame, group_rows: int) -> DataFrame:
+def _cumulative(values: DataFrame, keys: list[str], probes: DataFrame, ranges: int) -> DataFrame:
     """values: keys, x, cnt (each x of a group once). probes: keys, t, and other columns. Adds to each probe the number
-    c and the sum s of the values up to t, and the group's n. Ranges of about group_rows values are cut at quantiles."""
+    c and the sum s of the values up to t, and the group's n. Groups are cut into `ranges` ranges at quantiles."""
     same = lambda a, b: reduce(Column.__and__, [a[k].eqNullSafe(b[k]) for k in keys])
-    cuts = F.greatest(F.lit(1), F.least(F.lit(1000), F.ceil(F.count("*") / group_rows))).cast("int")
-    grid = [i / 256 for i in range(1, 256)]
-    splits = values.groupBy(*keys).agg(F.percentile_approx("x", grid, 10_000).alias("grid"), cuts.alias("cuts"), F.sum("cnt").alias("n"))
+    grid = [i / ranges for i in range(1, ranges)]
+    splits = values.groupBy(*keys).agg(F.percentile_approx("x", grid, max(10_000, 10 * ranges)).alias("grid"), F.sum("cnt").alias("n"))
     splits = settle(splits.withColumn("grid", F.array_distinct("grid")))
     extra = [c for c in probes.columns if c not in (*keys, "t")]
     zero = {c: F.lit(None).cast(probes.schema[c].dataType) for c in extra}
@@ -81,7 +80,7 @@ def _cumulative(values: DataFrame, keys: list[str], probes: DataFrame, group_row
     u = probes.select(*keys, "t", F.lit(0.0).alias("cnt"), F.lit(0.0).alias("sx"), F.lit(1).alias("probe"), *extra)
     both = v.unionByName(u)
     joined = both.join(splits, same(both, splits), "left").drop(*[splits[k] for k in keys])
-    joined = joined.withColumn("bucket", F.when(F.col("cuts") > 1, F.size(F.filter("grid", lambda g: g < F.col("t")))).otherwise(0)).drop("grid", "cuts")
+    joined = joined.withColumn("bucket", F.size(F.filter("grid", lambda g: g < F.col("t")))).drop("grid")
     joined = settle(joined)
     inside = Window.partitionBy(*keys, "bucket").orderBy("t", "probe").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -96,13 +95,13 @@ def _eq(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return reduce(Column.__and__, [a[k].eqNullSafe(b[k]) for k in keys])
 
 
-def _by_ranges(rows: DataFrame, q: float, p: float, weights: list[float], group_rows: int) -> DataFrame:
+def _by_ranges(rows: DataFrame, q: float, p: float, weights: list[float], ranges: int) -> DataFrame:
     for name, sign, keys in SCORES:
         keys = list(keys)
         rows = settle(rows.withColumn("_v", F.col(name) * sign))
         values = settle(rows.groupBy(*keys, F.col("_v").alias("x")).agg(F.count("*").alias("cnt")))
         # sums of the raw score aren't used here; infinite ones would spoil nothing else
-        ranks = _cumulative(values, keys, values.select(*keys, F.col("x").alias("t"), F.col("cnt").alias("own")), group_rows)
+        ranks = _cumulative(values, keys, values.select(*keys, F.col("x").alias("t"), F.col("cnt").alias("own")), ranges)
         ranks = ranks.select(*keys, F.col("t").alias("_v"), (F.col("c") - F.col("own") + 1).cast("int").alias(f"place_{name}"), ((F.col("c") - F.col("own") / 2) / F.col("n")).alias(f"x_{name}"))
         rows = rows.join(ranks, _eq(rows, ranks, [*keys, "_v"])).drop(*[ranks[k] for k in [*keys, "_v"]]).drop("_v")
     net = []
@@ -112,16 +111,16 @@ def _by_ranges(rows: DataFrame, q: float, p: float, weights: list[float], group_
         values = settle(rows.groupBy("query_id", F.col(x).alias("x")).agg(F.count("*").alias("cnt")))
         tags = F.array(*[F.struct(F.lit(t).alias("tag"), (F.col("x") + F.lit(d)).alias("t")) for t, d in _shift(q, p).items()])
         probes = values.select("query_id", F.col("x").alias("of"), F.explode(tags).alias("e")).select("query_id", "of", "e.tag", "e.t")
-        found = _cumulative(values, ["query_id"], probes, group_rows)
+        found = _cumulative(values, ["query_id"], probes, ranges)
         c = {t: F.max(F.when(F.col("tag") == t, F.col("c"))).alias(f"_c_{t}") for t in _AT}
         s = {t: F.max(F.when(F.col("tag") == t, F.col("s"))).alias(f"_s_{t}") for t in _AT}
         flat = found.groupBy("query_id", "of", "n").agg(*c.values(), *s.values())
-        flat = flat.select("query_id", F.col("of").alias(x), _flow("of", F.col("n"), F.lit(0), {t: F.col(f"_c_{t}") for t in _AT}, {t: F.col(f"_s_{t}") for t in _AT}, q, p).alias(f"flow_{name}"))
+        flat = flat.select("query_id", F.col("of").alias(x), _flow("of", F.col("n"), {t: F.col(f"_c_{t}") for t in _AT}, {t: F.col(f"_s_{t}") for t in _AT}, q, p).alias(f"flow_{name}"))
         rows = rows.join(flat, _eq(rows, flat, ["query_id", x])).drop(flat["query_id"]).drop(flat[x])
         net.append(F.col(f"flow_{name}") * weight)
     rows = settle(rows.withColumn("net_flow", F.round(reduce(Column.__add__, net), 9) + F.lit(0.0)))
     values = settle(rows.groupBy("query_id", (-F.col("net_flow")).alias("x")).agg(F.count("*").alias("cnt")))
-    place = _cumulative(values, ["query_id"], values.select("query_id", F.col("x").alias("t"), F.col("cnt").alias("own")), group_rows)
+    place = _cumulative(values, ["query_id"], values.select("query_id", F.col("x").alias("t"), F.col("cnt").alias("own")), ranges)
     place = place.select("query_id", (-F.col("t")).alias("net_flow"), (F.col("c") - F.col("own") + 1).cast("int").alias("rank"))
     return rows.join(place, _eq(rows, place, ["query_id", "net_flow"])).drop(place["query_id"]).drop(place["net_flow"])
 
@@ -131,7 +130,7 @@ def outranking(results: DataFrame, weights: tuple[float, float] = (0.5, 0.5), in
     flow_distance, flow_rerank_score, net_flow and rank (1 + number of rows of the query with a larger net flow)."""
     spark = results.sparkSession
     rows = results.select(*_KEYS).where("distance is not null and rerank_score is not null and not isnan(distance) and not isnan(rerank_score)")
-    counts = rows.groupBy("query_id").agg(F.count("*").alias("_rows")).where(F.col("_rows") > group_rows).select("query_id", "_rows")
+    counts = rows.groupBy("query_id").agg(F.count("*").alias("_rows")).where(F.col("_rows") > group_rows)
     big = settle(counts)  # at most rows / group_rows queries
     out = [*_KEYS, "place_distance", "place_rerank_score", "flow_distance", "flow_rerank_score", "net_flow", "rank"]
     if big.isEmpty():
@@ -139,5 +138,6 @@ def outranking(results: DataFrame, weights: tuple[float, float] = (0.5, 0.5), in
     mark = F.broadcast(big.select(F.col("query_id").alias("_big")))
     small = rows.join(mark, F.col("query_id").eqNullSafe(F.col("_big")), "left_anti")
     hot = rows.join(mark, F.col("query_id").eqNullSafe(F.col("_big")), "left_semi").distinct()
+    ranges = max(2, -(-big.agg(F.max("_rows")).first()[0] // group_rows))
     a = _by_windows(small.repartition(wide(spark), "query_id").distinct(), indifference, strict, list(weights)).select(out)
-    return a.unionByName(_by_ranges(hot, indifference, strict, list(weights), group_rows).select(out))
+    return a.unionByName(_by_ranges(hot, indifference, strict, list(weights), ranges).select(out))
