@@ -81,7 +81,7 @@ def wide(spark: SparkSession, least: int = 0) -> int:
 
 def size_of(df: DataFrame) -> int:
     """Bytes of df by Spark's estimate, which for settled frames follows the size of their files; unknown sizes are huge."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def join_small(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
