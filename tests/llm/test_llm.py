@@ -81,10 +81,11 @@ def test_format_duplicates(spark):
         10: "Ref: a1\nTitle: Old Map\nSize: 3", 4: "size: 3; REF: a1; title: old   map!", 7: '{"Title": "old map", "Size": "3", "Ref": "a1"}', 8: "Size: 3 | Ref: a1 | Title: Old-Map",
         5: "RefA1 title old map size 3", 1: "Hello, World", 2: "hello world", 3: "World hello", 20: "a: b; c: d", 21: "c: d; a: b",
         30: None, 31: "", 32: "…", 33: "…", 34: "Straße", 35: "STRASSE", 40: "a: 1, well, c: 2, d: 3", 41: "d: 3, a: 1, well, c: 2",
+        50: f"{'long name ' * 10}: 1; b: 2; c: 3", 51: f"c: 3; b: 2; {'long name ' * 10}: 1",
     }
     got = {(r.keep_id, r.doc_id) for r in format_dedup.further_copies(docs(spark, texts)).collect()}
     # 5 has the sequence of 10, whose fields are those of 4, 7 and 8
-    assert got == {(4, 10), (4, 7), (4, 8), (4, 5), (1, 2), (34, 35)}
+    assert got == {(4, 10), (4, 7), (4, 8), (4, 5), (1, 2), (34, 35), (50, 51)}
     assert {r.keep_id: r.copies for r in format_dedup.records(docs(spark, texts)).collect()}[4] == 5
     assert format_dedup.further_copies(docs(spark, {})).collect() == []
 
