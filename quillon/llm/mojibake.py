@@ -1,21 +1,24 @@
 """Text decoded with the wrong encoding: garbled forms of the corpus's own words, found by hash join and put right.
 
-Every distinct word with a character beyond ASCII, and every distinct such character, is turned into the forms it takes
-under all chains of wrong decoding below. The pieces of the documents' tokens are joined to this table by equality; a hit
-names the original and the chain. Single characters count only with forms of two or more characters, or with the
-replacement character; forms that are but another letter (one single-byte code page read as another, or lost bytes)
-count for whole words only: that the corpus itself uses the original is what verifies it. Where the form can't be read
-as it stands (letters of two scripts, a capital behind a small letter, signs between letters) and the original is a
-word without signs that can, this is enough; otherwise the original must be in more distinct texts than the form, so
-that copies of a text weigh nothing (a text counts once for each of its tokens with the word). A readable form of an
-unreadable original is sound. Near copies with other texts still weigh where both can be read (ń for ñ).
+Every distinct clean word with a character beyond ASCII, and every distinct such character of clean words, is turned into
+the forms it takes under all chains of wrong decoding below; a word is clean if its whole token can be read as it stands.
+The pieces of the documents' tokens are joined to this table by equality; a hit names the original and the chain. Single
+characters count only with forms of two or more characters; forms that are but another letter (one single-byte code page
+read as another, or lost bytes) count for whole words only: that the corpus itself uses the original is what verifies it.
+Where the form can't be read as it stands (letters of two scripts, a capital behind a small letter, signs between
+letters) and the original is a word without signs that can, this is enough; otherwise the original must be in more
+distinct texts than the form, so that copies of a text weigh nothing (a text counts once for each of its tokens with the
+word). Near copies with other texts still weigh where both can be read (ń for ñ). Forms whose garbled character is a
+blank or invisible (`est` and a no-break space for está) aren't told from ordinary spacing and don't count.
 Words of fewer than three letters count only in forms that can't be read (lа for là, with a Cyrillic а), as many others
-are words or formulas of their own (σt for åt); single letters as words never. Words of more than 24 characters count
-only for forms of one character each; their UTF-8 forms are found by the single characters.
-What is left of a lost original (U+FFFD) is reported without one.
+are words or formulas of their own (σt for åt); single letters as words never. Words have no greatest length: above 24
+characters a UTF-8 form is left out of the table only where each of its garbled characters is in it by itself, which
+finds and restores the same words.
+The replacement character U+FFFD is in the table as the form of every lost original; it is reported, and restored only
+where a whole word tells what was lost.
 
 Character references are read as the characters they stand for. A sequence that stands alone between double quotation
-marks is an example somebody quotes, not a case.
+marks, in a sentence that speaks of such errors, is an example somebody quotes, not a case.
 
 Defined results: null texts are no case; a text may hold both garbled and sound parts, only the former change; texts of
 pure ASCII without references are never touched; repeated doc_ids are reported once by found_documents.
@@ -27,17 +30,24 @@ import html
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.session import join_hot, join_small, settle
+from quillon.session import free, join_hot, join_small, settle, wide
 
 _REF = r"&(?:#[0-9]{2,7}|#[xX][0-9A-Fa-f]{2,6}|[A-Za-z][A-Za-z0-9]{1,7});"
 _HIGH = rf"(?:[^\x00-\x7F]|{_REF})"
 TOKEN = rf"(?<![0-9A-Za-z])[0-9A-Za-z]*+{_HIGH}(?:[0-9A-Za-z]|{_HIGH})*+"
-QUOTED = rf"(?:\"|&quot;|“|„)(?:(?![“”„]){_HIGH}){{1,12}}(?:\"|&quot;|”|“)"
+QUOTED = rf"(?:\"|&quot;|“|„)(?:(?![“”„]){_HIGH})++(?:\"|&quot;|”|“)"
+#: What sentences about such errors say, in the corpus's languages, and where sentences end.
+TALK = (
+    "(?i)encod|decod|charset|code ?page|utf-?8|latin-?1|unicode|mojibake|garbl|mangl|in place of|instead of|quoted|bug report|character|"
+    "kodier|zeichen|anstelle|statt |encodage|décod|au lieu d|à la place d|caractère|codifica|en lugar d|en vez d|carácter|caracteres"
+)
+SENTENCE = r"(?<=[.!?…\n])\s+"
 #: Code pages that texts in UTF-8 are taken for, and pairs of single-byte code pages taken for each other.
 PAGES = ("cp1252", "latin_1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "iso8859_15", "koi8_r")
 SWAPS = (("cp1252", "cp1251"), ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "cp1250"), ("cp1252", "koi8_r"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1251", "cp1252"))
@@ -74,8 +84,6 @@ CHAINS = _chains()
 #: The characters that bytes beyond ASCII become; a garbled form has no others, and begins with what a lead byte becomes.
 HIGH = frozenset(_read(bytes([b]), p, u) for p in PAGES for b in range(0x80, 0x100) for u in ("control", "mark", "drop"))
 LEAD = frozenset(_read(bytes([b]), p, "control") for p in PAGES for b in range(0xC2, 0xF5))
-#: Characters that a single-byte code page taken for another, or for UTF-8, can have had.
-_SWAPPED = frozenset(bytes([b]).decode(a, "ignore") for b in range(256) for a in ("cp1251", "cp1252", "cp437", "cp850", "mac_roman"))
 _WORD = re.compile(r"(?:[^\W_]|[̀-ͯ’'])+")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 
@@ -85,20 +93,28 @@ def words_of(token: str) -> set[str]:
     return {w for w in (token, *_WORD.findall(token)) if not w.isascii()}
 
 
+@lru_cache(maxsize=100_000)
+def _own(chain: int, c: str) -> int:
+    """Length of a character's own form."""
+    return len(CHAINS[chain][2](c))
+
+
 def forms(word: str) -> dict[str, str]:
     """Garbled form to chain. Of several chains with one result the first is named."""
     out: dict[str, str] = {}
     single = len(word) == 1
-    for name, chars, garble in CHAINS:
-        if not chars if single else chars and len(word) > 2 * LONGEST:
+    for i, (name, chars, garble) in enumerate(CHAINS):
+        if single and not chars:
             continue
+        if chars and len(word) > 2 * LONGEST and all(_own(i, c) > 1 for c in set(word) if ord(c) > 127):
+            continue  # the characters' own forms are in the table
         try:
             g = garble(word)
         except (UnicodeEncodeError, UnicodeDecodeError):
             continue
-        if g == word or g.isascii() or chars and len(g) > 8 * LONGEST:
+        if g == word or g.isascii() or single and len(g) < 2:
             continue
-        if single and len(g) < 2:
+        if not chars and any(unicodedata.category(c) in ("Zs", "Cf") for c in g if ord(c) > 127):
             continue
         out.setdefault(g, name)
     return out
@@ -126,7 +142,9 @@ def readable(word: str) -> bool:
 
 def pieces(token: str) -> set[str]:
     """What is looked up of a token: its words, and the substrings of its runs beyond ASCII that one character can become."""
-    out = words_of(token)
+    out = {w for w in words_of(token) if HIGH.issuperset(c for c in w if ord(c) > 127)}
+    if "�" in token:
+        out.add("�")
     for m in _RUN.finditer(token):
         run = m.group()
         for i, c in enumerate(run):
@@ -169,19 +187,22 @@ def _split_token(row: tuple) -> Iterator[tuple]:
     clean = html.unescape(token)
     if clean.isascii():
         return
-    for w in words_of(clean):
-        if len(w) <= 2 * LONGEST or _SWAPPED.issuperset(w):
+    if "�" not in clean and readable(clean):
+        for w in words_of(clean):
             yield code, docs, w, "word"
-    for c in {c for c in clean if ord(c) > 127}:
-        yield code, docs, c, "char"
+        for c in {c for c in clean if ord(c) > 127}:
+            yield code, docs, c, "char"
+    if "�" in clean:
+        yield code, docs, "�", "char"
     for p in pieces(clean):
-        if len(p) <= 8 * LONGEST or HIGH.issuperset(c for c in p if ord(c) > 127):
-            yield code, docs, p, "piece"
+        yield code, docs, p, "piece"
 
 
 def _forms_row(row: tuple) -> Iterator[tuple]:
     word, docs = row
-    if any(c.isalpha() for c in word) or len(word) == 1:
+    if word == "�":
+        yield word, docs, 1, word, "lost"
+    elif any(c.isalpha() for c in word) or len(word) == 1:
         sound = readable(word) * (2 if len(word) == 1 or _WORD.fullmatch(word) else 1)
         for g, chain in forms(word).items():
             yield word, docs, sound, g, chain
@@ -206,23 +227,31 @@ def _restore_row(row: tuple) -> Iterator[tuple]:
         if more == out:
             break
         out = more
-    yield token, out, hits[0]["chain"] if hits else "lost"
+    yield token, out, next((h["chain"] for h in hits if h["original"] != h["piece"]), "lost")
 
 
 def _string(*names: str) -> list[tuple[str, pa.DataType]]:
     return [(n, pa.int64() if n in ("docs", "code", "sound", "uses") else pa.string()) for n in names]
 
 
+def _without_examples(text: Column) -> Column:
+    """The text without what its sentences about such errors quote."""
+    plain = F.transform(F.split(text, SENTENCE), lambda x: F.when(x.rlike(TALK), F.regexp_replace(x, QUOTED, " ")).otherwise(x))
+    return F.when(text.rlike(QUOTED), F.array_join(plain, "\n")).otherwise(text)
+
+
 def garbled_tokens(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(occurrences, garbled). occurrences: doc_id, token (with a character beyond ASCII or a reference), each once.
     garbled: token, restored (may hold U+FFFD where the original is lost), chain."""
-    text = F.regexp_replace("text", QUOTED, " ")
+    spark = documents.sparkSession
+    text = _without_examples(F.col("text"))
     seen = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))).alias("token"), F.xxhash64("text").alias("content"))
     seen = settle(seen)
     texts = seen.select("token", "content").distinct()  # copies of a text count once
     tokens = settle(texts.groupBy("token").agg(F.count("*").alias("docs")).withColumn("code", F.monotonically_increasing_id()).select("code", "token", "docs"))
     parts = settle(tokens.mapInArrow(_batched(_split_token, _string("code", "docs", "part", "kind")), "code long, docs long, part string, kind string"))
     units = parts.where("kind <> 'piece'").groupBy("part").agg(F.sum("docs").alias("docs"))
+    units = units.repartition(wide(spark), "part")  # few bytes, but much work
     table = settle(units.mapInArrow(_batched(_forms_row, _string("original", "docs", "sound", "piece", "chain")), "original string, docs long, sound long, piece string, chain string"))
     # one original for each garbled form: of the words that can be read (beside lost characters of all), the one that most texts use
     rank = F.when(F.col("piece").contains("�"), F.least("sound", F.lit(1))).otherwise(F.col("sound")).alias("rank")
@@ -235,9 +264,9 @@ def garbled_tokens(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     hits = settle(hits.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("piece", "original", "chain"))).alias("hits")))
     hits = join_small(tokens, hits, "code").select("token", "hits")
     found = hits.mapInArrow(_batched(_restore_row, _string("token", "restored", "chain")), "token string, restored string, chain string")
-    lost = tokens.where(F.col("token").contains("�")).select("token", F.col("token").alias("restored"), F.lit("lost").alias("chain"))
-    garbled = settle(found.where("restored <> token"))
-    return seen.drop("content"), settle(garbled.unionByName(lost.join(garbled.select("token"), "token", "left_anti")))
+    garbled = settle(found.where("restored <> token or chain = 'lost'"))
+    free(tokens, parts, table, best, known)
+    return seen.drop("content"), garbled
 
 
 def found_documents(documents: DataFrame) -> DataFrame:
@@ -252,12 +281,13 @@ def repaired(documents: DataFrame) -> DataFrame:
     mine = join_small(seen, garbled, "token").groupBy("doc_id").agg(F.collect_list(F.struct("token", "restored")).alias("fix"))
     mine = settle(mine)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pattern = re.compile(f"{QUOTED}|{TOKEN}")
 
     def fix(row: tuple) -> Iterator[tuple]:
         doc, text, changes = row
         to = {c["token"]: c["restored"] for c in changes}
-        yield doc, len(to), sum("�" in r for r in to.values()), pattern.sub(lambda m: to.get(m[0], m[0]), text)
+        one = lambda x: re.sub(f"{QUOTED}|{TOKEN}" if re.search(TALK, x) else TOKEN, lambda m: to.get(m[0], m[0]), x)
+        parts = re.split(f"({SENTENCE})", text) if re.search(QUOTED, text) else [text]
+        yield doc, len(to), sum("�" in r for r in to.values()), "".join(map(one, parts)) if len(parts) > 1 else re.sub(TOKEN, lambda m: to.get(m[0], m[0]), text)
 
     types = [("doc_id", pa.int64()), ("garbled", pa.int32()), ("lost", pa.int32()), ("text", pa.string())]
     return join_small(texts, mine, "doc_id").select("doc_id", "text", "fix").mapInArrow(_batched(fix, types), "doc_id long, garbled int, lost int, text string")

@@ -442,6 +442,19 @@ def test_mojibake_of_short_and_long_words(spark):
     assert fixed == {10: "où", 11: "là", 12: long, 13: long + long.lower() * 2}
 
 
+def test_mojibake_quoted_lost_and_blank(spark):
+    swap = lambda t, a="utf-8", b="cp1252": t.encode(a).decode(b)
+    word = "ä" + "überraschung" * 5
+    texts = {
+        1: "Привет, мир", 2: "está bien", 3: f"das {word}", 10: 'She wrote "' + swap("Привет", b="cp1251") + '" on the card.', 11: f"x {swap(word)} y", 12: "a \ufffd b",
+        20: "est\u00a0b", 21: 'The mail showed "' + swap("é") + '" instead of é. "' + swap("é", b="mac_roman") + '" too, in place of é.', 22: "est&nbsp;b",
+    }
+    assert {r.doc_id for r in mojibake.found_documents(docs(spark, texts)).collect()} == {10, 11, 12}
+    fixed = {r.doc_id: r.text for r in mojibake.repaired(docs(spark, texts)).collect()}
+    assert fixed == {10: 'She wrote "Привет" on the card.', 11: f"x {word} y", 12: "a \ufffd b"}
+    assert [r.doc_id for r in mojibake.found_documents(docs(spark, {1: "lost \ufffd", 2: None, 3: ""})).collect()] == [1]
+
+
 def test_found_queries_on_sample_tables(spark):
     """Every query runs on the smallest tables."""
     from quillon.llm.queries import queries
