@@ -1,15 +1,18 @@
 """Markup to clean text that keeps headings, lists, tables, code and formulas.
 
-Pages are parsed into a tree. For every node the composite text density is computed (Sun, Song and Liao 2011):
-characters per tag, times a logarithm that falls with the share of characters and tags in links. Each node's density
-sum is that of its children, where each run of a block's own text, with its inline elements, counts as a child. The content is the node with the largest sum; the smallest density on its path to the body is
-the threshold, and in every other subtree at or above it the node with the largest sum is content too. The text of
-these subtrees is kept, in order. Texts that merely hold some tags lose these and nothing else.
+Every text is parsed into a tree: its HTML elements, and as further nodes its comments, stray tags, character references
+and the constructs of Markdown, wiki and LaTeX. For every node the composite text density is computed (Sun, Song and Liao
+2011): characters per tag, times a logarithm that falls with the share of characters and tags in links. A text whose tree
+is but its root holds no markup. Each node's density sum is that of its children, where each run of a block's own text,
+with its inline elements, counts as a child. In pages, the content is the node with the largest sum; the smallest density
+on its path to the body is the threshold, and in every other subtree at or above it the node with the largest sum is
+content too. The text of these subtrees is kept, in order. Texts that merely hold some tags lose these and nothing else.
 
 Wiki, LaTeX and Markdown constructs are rewritten; code and formulas are set aside meanwhile. Clean text has `#` headings,
 `- ` lists, ` | ` between cells, fenced code and `$`-delimited formulas.
 
-Defined results: null texts give no row; texts without markup come out unchanged with no kinds; empty texts too.
+Defined results: null texts give no row; texts without markup come out unchanged with no kinds and no nodes; empty texts
+too. Neither nesting nor length of a construct is limited.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.markup_signs import TAG, kinds
+from quillon.llm.markup_signs import TAG, constructs, html_marks
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _DROP = frozenset("script style noscript template head nav iframe object".split())
@@ -33,19 +36,58 @@ _ENDS = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr":
 _STOPS = frozenset("ul ol table tr td th div body section article dl blockquote".split())
 
 
+#: How what is no element ends.
+_UNTIL = {"<!--": "-->", "<![": "]]>", "<!d": ">", "<?x": ">"}
+
+
 class Page(HTMLParser):
-    """Nodes in document order: name, parent, and an event list to render from."""
+    """Nodes in document order: name, parent, and an event list to render from.
+
+    tags: matches of TAG. marks: (position, characters, whether it is a link) of other constructs, which become nodes
+    `#mark` and `#link` under the element that is open there. Unless the text as a whole is a page, a `<` that begins
+    none of the tags is text."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, tags: list[re.Match], marks: list[tuple[int, int, bool]] = ()):
         super().__init__(convert_charrefs=True)
         self.names, self.parents, self.attrs = ["#root"], [-1], [{}]
         self.events: list[tuple] = []
         self.open = [0]
-        self.feed(text)
+        first = tags[0] if tags else None
+        self.whole = first is not None and (re.match(r"<(?!br\b|!\[)[a-z!]", first[0], re.I) is not None and not text[: first.start()].strip() or any(re.match(r"<(?:html|body|!doctype)\b", m[0], re.I) for m in tags))
+        marks = iter(marks)
+        mark = next(marks, None)
+        at = 0
+        for m in [*tags, None]:
+            end = m.start() if m else len(text)
+            if end < at:  # within a comment
+                continue
+            while mark and mark[0] < end:
+                self._mark("#link" if mark[2] else "#mark", mark[1])
+                mark = next(marks, None)
+            gap = text[at:end]
+            self.feed(gap if self.whole else gap.replace("<", "&lt;"))
+            if m:
+                at = m.end()
+                until = _UNTIL.get(m[0][:4]) or _UNTIL.get(m[0][:3].lower())
+                if until:
+                    self._mark("#mark", 0)
+                    stop = text.find(until, at)
+                    if stop >= 0:
+                        if until == "]]>":
+                            self.feed(html.escape(text[at:stop]))
+                        at = stop + len(until)
+                else:
+                    self.feed(m[0])
         self.close()
         while len(self.open) > 1:
             self._end()
 
+    def _mark(self, name: str, chars: int) -> None:
+        self.events.append(("mark", len(self.names), chars))
+        self.names.append(name)
+        self.parents.append(self.open[-1])
+        self.attrs.append({})
+
     def _end(self) -> None:
         self.events.append(("end", self.open.pop(), ""))
 
@@ -79,14 +121,11 @@ class Page(HTMLParser):
                 while len(self.open) > i:
                     self._end()
                 return
+        self._mark("#mark", 0)
 
     def handle_data(self, data):
         self.events.append(("text", self.open[-1], data))
 
-    def unknown_decl(self, data):
-        if data.startswith("CDATA["):
-            self.handle_data(data[6:])
-
 
 def composite_densities(page: Page) -> tuple[list[float], list[float]]:
     """(density, density sum) of every node."""
@@ -109,6 +148,11 @@ def composite_densities(page: Page) -> tuple[list[float], list[float]]:
             link_chars[node] += size if linked[node] else 0
             run[at][0] += size
             run[at][1] += size if linked[node] else 0
+        elif kind == "mark":
+            if page.names[node] == "#link" and not dropped[node]:
+                link_chars[node] = data
+                run[at][1] += data
+                run[at][2] += 1
         elif kind == "start" and page.names[node] == "a":
             run[at][2] += 1
         elif at == node:  # a block begins or ends: so does a run of the text around it
@@ -124,7 +168,7 @@ def composite_densities(page: Page) -> tuple[list[float], list[float]]:
         chars[up] += chars[i]
         link_chars[up] += link_chars[i]
         tags[up] += tags[i] + 1
-        link_tags[up] += link_tags[i] + (page.names[i] == "a")
+        link_tags[up] += link_tags[i] + (page.names[i] in ("a", "#link"))
     body = next((i for i, name in enumerate(page.names) if name == "body"), 0)
     share = link_chars[body] / max(chars[body], 1)
 
@@ -185,6 +229,8 @@ def render(page: Page) -> str:
 
     for kind, node, data in page.events:
         name = page.names[node]
+        if kind == "mark":
+            continue
         if kind == "start":
             depth += node in content
             skip += name in _DROP
@@ -252,12 +298,30 @@ def render(page: Page) -> str:
     return "".join(out)
 
 
-_PAGE = re.compile(r"(?i)<(?:html|body|!doctype)\b|\A\s*<(?!br|!\[)[a-z!]")
+def _nested(text: str, begin: str, end: str, replace) -> str:
+    """Replace balanced constructs, inner ones first; what isn't balanced stays. replace: (match of begin, inside)."""
+    parts: list[list[str]] = [[]]
+    heads: list[re.Match] = []
+    at = 0
+    for m in re.finditer(f"(?P<end>{end})|{begin}", text):
+        parts[-1].append(text[at : m.start()])
+        at = m.end()
+        if not m["end"]:
+            heads.append(m)
+            parts.append([])
+        elif heads:
+            inside = "".join(parts.pop())
+            parts[-1].append(replace(heads.pop(), inside))
+        else:
+            parts[-1].append(m[0])
+    parts[-1].append(text[at:])
+    while heads:
+        inside = "".join(parts.pop())
+        parts[-1].append(heads.pop()[0] + inside)
+    return "".join(parts[0])
 
 
 def from_html(text: str, keep) -> str:
-    if _PAGE.search(text):
-        return render(Page(text))
     text = re.sub(r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", "", text)
     text = re.sub(r"(?is)<(?:syntaxhighlight|source)\b[^>]*>(.*?)</(?:syntaxhighlight|source)\s*>", lambda m: keep("```\n" + m[1].strip("\n") + "\n```"), text)
     text = re.sub(r"(?is)<pre\b[^>]*>(.*?)</pre\s*>", lambda m: keep("```\n" + html.unescape(TAG.sub("", m[1])).strip("\n") + "\n```"), text)
@@ -280,18 +344,14 @@ def from_wiki(text: str, keep) -> str:
     text = re.sub(r"\[\[(?:[^\]\[|\n]*\|)*([^\]\[|\n]*)\]\]", r"\1", text)
     text = re.sub(r"\[(?:https?|ftp)://[^\s\]]+[ \t]*([^\]\n]*)\]", r"\1", text)
 
-    def template(m: re.Match) -> str:
-        parts = [p.strip() for p in m[1].split("|")[1:]]
+    def template(_, inside: str) -> str:
+        parts = [p.strip() for p in inside.split("|")[1:]]
         named = [p.split("=", 1) for p in parts if "=" in p]
         if named:
             return "\n".join(f"- {k.strip()}: {v.strip()}" for k, v in named)
         return parts[-1] if parts else ""
 
-    for _ in range(4):  # inner ones first
-        new = re.sub(r"\{\{([^{}]*)\}\}", template, text)
-        if new == text:
-            break
-        text = new
+    text = _nested(text, r"\{\{(?!\{)", r"\}\}", template)
     text = re.sub(r"'{2,5}(?=\S)([^'\n]+(?:'[^'\n]+)*)'{2,5}", r"\1", text)
 
     def table(m: re.Match) -> str:
@@ -334,12 +394,14 @@ def from_latex(text: str, keep) -> str:
     text = re.sub(r"[ \t]*\\(?:cite[a-z]*|label|ref|eqref|index|bibliography|bibliographystyle|includegraphics|usepackage|documentclass|vspace|hspace)\*?(?:\[[^\]\n]*\])*\{[^{}\n]*\}", "", text.replace("~\\", "\\"))
     text = re.sub(r"\\(?:begin|end)\{[^}\n]*\}(?:\[[^\]\n]*\])?", "", text)
     text = re.sub(r"(?m)^[ \t]*\\item(?:\[([^\]\n]*)\])?[ \t]*", lambda m: "- " + (m[1] + " " if m[1] else ""), text)
-    text = re.sub(r"\\footnote\{([^{}]*)\}", r" (\1)", text)
-    for _ in range(6):  # inner commands first
-        new = re.sub(r"\\([a-zA-Z]+)\*?(?:\[[^\]\n]*\])*\{([^{}]*)\}", lambda m: ("\n" + "#" * _HEADS[m[1]] + " " + m[2] + "\n") if m[1] in _HEADS else m[2], text)
-        if new == text:
-            break
-        text = new
+    def command(m: re.Match, inside: str) -> str:
+        if not m["name"]:
+            return "{" + inside + "}"
+        if m["name"] in _HEADS:
+            return "\n" + "#" * _HEADS[m["name"]] + " " + inside + "\n"
+        return f" ({inside})" if m["name"] == "footnote" else inside
+
+    text = _nested(text, r"\\(?P<name>[a-zA-Z]+)\*?(?:\[[^\]\n]*\])*\{|(?<!\\)\{", r"(?<!\\)\}", command)
     text = re.sub(r"(?<![\w:\\])\\(?:item|maketitle|tableofcontents|noindent|par|newpage|centering|hline|quad|left|right)(?![A-Za-z])[ \t]*", "", text)
     return re.sub(r"\\([%&#_{}$])", r"\1", text)
 
@@ -363,11 +425,21 @@ def from_markdown(text: str, keep) -> str:
 _STEPS = {"html": from_html, "wiki": from_wiki, "latex": from_latex, "markdown": from_markdown}
 
 
-def clean(text: str) -> tuple[str, list[str]]:
-    """(clean text, kinds of markup it held)."""
-    found = kinds(text)
-    if not found:
-        return text, found
+def parse(text: str) -> tuple[Page | None, list[str]]:
+    """(tree, kinds of markup); no tree if that were but a root."""
+    tags, references = html_marks(text)
+    others = constructs(text)
+    found = ["html"] * bool(tags or references) + list(others)
+    marks = sorted([(m.start(), 0, False) for m in references] + [x for xs in others.values() for x in xs])
+    return (Page(text, tags, marks) if found else None), found
+
+
+def analysed(text: str) -> tuple[str, list[str], int, float]:
+    """(clean text, kinds of markup it held, nodes of its tree beside the root, density of the root)."""
+    page, found = parse(text)
+    if page is None:
+        return text, found, 0, float(len(text))
+    density = composite_densities(page)[0][0]
     kept: list[str] = []
 
     def keep(part: str) -> str:
@@ -381,23 +453,33 @@ def clean(text: str) -> tuple[str, list[str]]:
         out = re.sub(r"(?<![\\`\w])`(?=[^`\s])[^`\n]*`(?![`\w])", lambda m: keep(m[0]), out)
     for kind in _STEPS:
         if kind in found:
-            out = _STEPS[kind](out, keep)
+            out = render(Page(out, html_marks(out)[0])) if kind == "html" and page.whole else _STEPS[kind](out, keep)
             if kind == "html":
                 out = fence.sub(lambda m: keep("```\n" + m[2] + "```"), out)
     out = re.sub(r"[ \t]+\n", "\n", out)
     out = re.sub(r"\n{3,}", "\n\n", out).strip("\n")
-    for _ in range(2):  # what is kept may hold what was kept before it
-        out = re.sub("\x02([0-9]+)\x03", lambda m: kept[int(m[1])], out)
-    return out, found
+
+    def back(part: str) -> str:  # what is kept may hold what was kept before it
+        return re.sub("\x02([0-9]+)\x03", lambda m: back(kept[int(m[1])]), part)
+
+    return back(out), found, len(page.names) - 1, density
+
+
+def clean(text: str) -> tuple[str, list[str]]:
+    """(clean text, kinds of markup it held)."""
+    return analysed(text)[:2]
 
 
 def clean_texts(documents: DataFrame) -> DataFrame:
-    """doc_id, kinds (of html, wiki, markdown, latex), text: clean text of every document."""
+    """doc_id, kinds (of html, wiki, markdown, latex), nodes of the text's tree beside its root, density of the root
+    (composite text density; characters where there is no markup), and the clean text, of every document."""
+    names, types = ["doc_id", "kinds", "nodes", "density", "text"], [pa.list_(pa.string()), pa.int32(), pa.float64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [clean(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k for _, k in done], pa.list_(pa.string())), pa.array([t for t, _ in done], pa.string())], names=["doc_id", "kinds", "text"])
+            done = [analysed(t) for t in b.column(1).to_pylist()]
+            cols = [[k for _, k, _, _ in done], [n for _, _, n, _ in done], [d for _, _, _, d in done], [t for t, _, _, _ in done]]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, types)]], names=names)
 
     rows = documents.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, kinds array<string>, text string")
+    return rows.mapInArrow(run, "doc_id long, kinds array<string>, nodes int, density double, text string")

@@ -69,19 +69,25 @@ WIKI = [
 ]
 LATEX = re.compile(
     r"(?<![\w:\\])\\(?:[a-zA-Z]+\*?(?:\[[^\]\n]*\])*\{|(?:begin|end|item|maketitle|tableofcontents|noindent|par|newpage|centering|hline|ldots|dots|quad|cdot|times|alpha|beta|gamma|delta|lambda|mu|pi|sigma|theta|omega|sum|int|prod|frac|sqrt|log|ln|cos|sin|exp|leq|geq|infty|left|right|textbf|emph)(?![A-Za-z]))"
-    r"|\\\[.{1,2000}?\\\]|\\\(.{1,500}?\\\)"
-    r"|\$\$[^$]{1,2000}\$\$"
-    r"|(?<![\w$\\])\$(?=[^$\n]*[\\^_=+<>{}]|[A-Za-z]\$)(?!\d[\d.,]*[ ])[^\s$](?:[^$\n]{0,200}?[^\s$\\])?\$(?![\w$])",
+    r"|\\\[(?:(?!\\\[).)+?\\\]|\\\((?:(?!\\\().)+?\\\)"
+    r"|\$\$[^$]+\$\$"
+    r"|(?<![\w$\\])\$(?=[^$\n]*[\\^_=+<>{}]|[A-Za-z]\$)(?!\d[\d.,]*[ ])[^\s$](?:[^$\n]*?[^\s$\\])?\$(?![\w$])",
     re.S,
 )
 
 
-def has_html(text: str) -> bool:
+def html_marks(text: str) -> tuple[list[re.Match], list[re.Match]]:
+    """(tags, character references) of the text."""
+    tags = []
     if "<" in text:
+        lower = ""
         for m in TAG.finditer(text):
-            if not _TYPE.search(text[max(0, m.start() - 1) : m.end()]) or f"</{m[0][1:-1].lower()}>" in text.lower():
-                return True
-    return "&" in text and any(not m[1] or m[1] + ";" in html5 for m in REFERENCE.finditer(text))
+            if _TYPE.search(text[max(0, m.start() - 1) : m.end()]):
+                lower = lower or text.lower()
+                if f"</{m[0][1:-1].lower()}>" not in lower:
+                    continue
+            tags.append(m)
+    return tags, [m for m in REFERENCE.finditer(text) if not m[1] or m[1] + ";" in html5] if "&" in text else []
 
 
 def _parses(text: str) -> bool:
@@ -99,15 +105,21 @@ def is_data(text: str) -> bool:
     return _parses(text) or all(_parses(line) for line in text.split("\n") if line.strip())
 
 
-def kinds(text: str) -> list[str]:
-    """Which of html, markdown, wiki, latex the text holds."""
-    out = ["html"] if has_html(text) else []
+#: Constructs whose text is a link's.
+_LINKS = ("](", "][", "[[", "://")
+
+
+def constructs(text: str) -> dict[str, list[tuple[int, int, bool]]]:
+    """Constructs of wiki, Markdown and LaTeX by kind: (position, characters, whether it is a link)."""
     if is_data(text):
-        return out
-    if any(c in text and p.search(text) for c, p in WIKI):
-        out.append("wiki")
-    if any(c in text and p.search(text) for c, p in MARKDOWN):
-        out.append("markdown")
-    if ("\\" in text or "$" in text) and LATEX.search(text):
-        out.append("latex")
+        return {}
+    out: dict[str, list[tuple[int, int, bool]]] = {}
+    for kind, patterns in (("wiki", WIKI), ("markdown", MARKDOWN)):
+        found = [(m.start(), m.end() - m.start(), c in _LINKS) for c, p in patterns if c in text for m in p.finditer(text)]
+        if found:
+            out[kind] = found
+    if "\\" in text or "$" in text:
+        found = [(m.start(), m.end() - m.start(), False) for m in LATEX.finditer(text)]
+        if found:
+            out["latex"] = found
     return out

@@ -62,7 +62,8 @@ def p5_near_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return markup.clean_texts(read_table(spark, sf_dir, "documents")).where("size(kinds) > 0").select("doc_id")
+    """Texts whose tree has a node beside its root."""
+    return markup.clean_texts(read_table(spark, sf_dir, "documents")).where("nodes > 0").select("doc_id")
 
 
 def p6_clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -265,6 +265,34 @@ def test_page_keeps_content_and_structure():
     assert markup.clean("<div>" * 3000 + "deep" + "</div>" * 3000)[0] == "deep"
 
 
+def test_markup_of_any_depth_and_length():
+    formula = "x + " * 3000 + "y"
+    for a, b in (("\\[", "\\]"), ("\\(", "\\)"), ("$$", "$$")):
+        text, kinds = markup.clean(f"See {a}{formula}{b} there.")
+        assert kinds == ["latex"] and formula in text and a not in text.replace("$$", "") + "$$" * (a == "$$") or a == "$$"
+    assert markup.clean("See $" + formula + "$ there.")[1] == ["latex"]
+    deep = "x"
+    for _ in range(12):
+        deep = "{{t|" + deep + "}}"
+    assert markup.clean(f"a {deep} b")[0] == "a x b"
+    deep = "x"
+    for _ in range(12):
+        deep = "\\emph{" + deep + "}"
+    assert markup.clean(f"a {deep} b")[0] == "a x b"
+    assert markup.clean("{{a {{b|c}} d")[0] == "{{a c d"
+
+
+def test_tree_of_every_text():
+    page, kinds = markup.parse("see [x](http://y) and **z**, <b>w</b></p> &amp; <!-- note --> if a <b and c")
+    assert sorted(page.names) == ["#link", "#mark", "#mark", "#mark", "#mark", "#root", "b"] and kinds == ["html", "markdown"]
+    assert markup.parse("plain a < b, x > y") == (None, [])
+    _, _, nodes, density = markup.analysed("plain")
+    assert (nodes, density) == (0, 5.0)
+    few, many = markup.analysed("<p>" + "word " * 50 + "</p>"), markup.analysed("<p>" + "<a href=x>word</a> " * 50 + "</p>")
+    assert few[3] > many[3] and (few[2], many[2]) == (1, 51)
+    assert markup.clean("unclosed <!-- note")[0] == "unclosed  note"
+
+
 def test_clean_texts(spark):
     rows = {r.doc_id: (r.kinds, r.text) for r in markup.clean_texts(docs(spark, {1: "a<br>b", 2: None, 3: "", 4: "plain"})).collect()}
     assert rows == {1: (["html"], "a\nb"), 3: ([], ""), 4: ([], "plain")}
