@@ -1,21 +1,25 @@
 """Nearest neighbours of every vector: vantage-point trees per shard, with relaxed triangle-inequality pruning.
 
 A vantage-point tree fitted on a bounded sample splits space into shards by distance to a vantage point (inside or
-outside its median radius), so that each vector has one home shard. A query descends from the root to its home shard
-and, where |distance - radius| <= reach / factor, into the other side as well; reach is the largest distance at which
-neighbours still matter. Each shard has a vantage-point tree over all its vectors, searched by the same rule, for
-batches of queries at once, with the reach shrinking to the k-th best distance found. With factor 1 the triangle
-inequality proves that nothing is lost; a larger factor visits fewer places and may miss neighbours.
+outside its median radius), so that each vector has one home shard. Shards that come out large are split again by trees
+fitted on samples of their own. A query descends from the root to its home shard and, where |distance - radius| <=
+reach / factor, into the other side as well; reach is the largest distance at which neighbours still matter. Each shard
+has a vantage-point tree over all its vectors, searched by the same rule, for batches of queries at once, with the reach
+shrinking to the k-th best distance found. With factor 1 the triangle inequality proves that nothing is lost; a larger
+factor visits fewer places and may miss neighbours.
 
-Vectors are scaled to unit length; distance is the chord length, sqrt(2 - 2 cos), a metric.
+Distance is the chord length of the unit vectors, sqrt(2 - 2 cos), a metric. All is computed in 64-bit numbers from the
+vectors as they are, and compared with a slack of SLACK, above the rounding errors of the distances.
 
 Defined results: vectors that are null, of another length than `dim`, all zero, or hold null or non-finite numbers take
-no part. Vectors equal after scaling (to 1e-5 in every component) are indexed once; ties in similarity go to the smaller
-doc_id. A collection of one vector has no neighbours. Extra columns are ignored.
+no part. Vectors equal after scaling (to 1e-6 in every component, i.e. cosines above 1 - 1e-10) are indexed once and
+count as equal; ties in similarity go to the smaller doc_id. A collection of one vector has no neighbours. Extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.session import join_hot, settle, wide
+from quillon.session import free, join_hot, join_small, settle, wide
 
 #: Rows the routing tree is fitted on at most. All rows are indexed.
 SAMPLE = 20_000
 #: Distinct vectors per shard, on average.
 SHARD = 8_000
 LEAF = 256
+#: A shard of more than LARGE * SHARD vectors is split again, by a tree fitted on about this number of its rows.
+LARGE, OWN_SAMPLE = 3, 8_000
+#: Queries from elsewhere that one task answers in a shard, about.
+VISITORS = 50_000
+SLACK = 1e-7
 
 
 def _distance(x: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -62,27 +71,36 @@ def routing_tree(x: np.ndarray, shards: int, rng: np.random.Generator):
     return grow(x, shards)
 
 
+def graft(tree, grown: dict[int, bytes], numbers: Iterator[int]):
+    """The tree with the leaves in `grown` replaced by trees, whose leaves get new numbers."""
+
+    def renumber(node):
+        return next(numbers) if isinstance(node, int) else (*node[:2], renumber(node[2]), renumber(node[3]))
+
+    if isinstance(tree, int):
+        return renumber(pickle.loads(grown[tree])) if tree in grown else tree
+    return (*tree[:2], graft(tree[2], grown, numbers), graft(tree[3], grown, numbers))
+
+
 def route(tree, x: np.ndarray, reach: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, shard) pairs; home shards only if there is no reach, else all shards within it but the home shard."""
+    """(row, shard) pairs; home shards only if there is no reach, else all shards within it."""
     rows, where = [], []
 
-    def walk(node, at: np.ndarray, home: np.ndarray) -> None:
+    def walk(node, at: np.ndarray) -> None:
         if not len(at):
             return
         if isinstance(node, int):
-            keep = at if reach is None else at[~home]
-            rows.append(keep)
-            where.append(np.full(len(keep), node, np.int64))
+            rows.append(at)
+            where.append(np.full(len(at), node, np.int64))
             return
         v, radius, inner, outer = node
         d = _distance(x[at], v)
         near = d <= radius
-        cross = np.zeros(len(at), bool) if reach is None else np.abs(d - radius) <= reach[at]
-        for side, child in ((near, inner), (~near, outer)):
-            go = side | cross
-            walk(child, at[go], (home & side)[go])
+        cross = np.zeros(len(at), bool) if reach is None else np.abs(d - radius) <= reach[at] + SLACK
+        walk(inner, at[near | cross])
+        walk(outer, at[~near | cross])
 
-    walk(tree, np.arange(len(x)), np.ones(len(x), bool))
+    walk(tree, np.arange(len(x)))
     return np.concatenate(rows) if rows else np.empty(0, np.int64), np.concatenate(where) if where else np.empty(0, np.int64)
 
 
@@ -106,7 +124,7 @@ class VPTree:
 
     def search(self, q: np.ndarray, k: int, reach: float, factor: float, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(similarity, row), each (len(q), k), best first; rows missing are -1. own: row of the query itself, or -1."""
-        sim = np.full((len(q), k), 1 - reach**2 / 2, np.float32)
+        sim = np.full((len(q), k), 1 - reach**2 / 2 - 1e-12)
         row = np.full((len(q), k), -1, np.int64)
         floor = sim.copy()
 
@@ -136,7 +154,7 @@ class VPTree:
             near = d <= radius
             visit(inner, at[near])
             visit(outer, at[~near])
-            cross = np.abs(d - radius) <= np.sqrt(np.maximum(2 - 2 * sim[at, k - 1], 0)) / factor + 1e-6
+            cross = np.abs(d - radius) <= np.sqrt(np.maximum(2 - 2 * sim[at, k - 1], 0)) / factor + SLACK
             visit(outer, at[near & cross])
             visit(inner, at[~near & cross])
 
@@ -145,103 +163,183 @@ class VPTree:
         return sim, row
 
 
-def unit_vectors(documents: DataFrame, dim: int = 64, column: str = "embedding") -> DataFrame:
-    """doc_id, v: usable vectors scaled to unit length, as 32-bit numbers."""
+def usable_vectors(documents: DataFrame, dim: int = 64, column: str = "embedding") -> DataFrame:
+    """doc_id, v: usable vectors, as 32-bit numbers, and a digest that vectors equal after scaling share."""
 
     def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, dim)
-            norm = np.linalg.norm(x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300), axis=1)
-            ok = np.isfinite(x).all(axis=1) & (norm > 0)
-            x = x[ok] / np.abs(x[ok]).max(axis=1, keepdims=True)
-            x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-            raw = [r.tobytes() for r in x]
-            same = [r.tobytes() for r in np.round(x * 1e5).astype(np.int32)]
-            import hashlib
-
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), pa.array(raw, pa.binary()), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in same], pa.binary())], names=["doc_id", "v", "same"])
+            raw = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
+            x = raw.astype(np.float64)
+            ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+            x = x[ok]
+            same = np.round(x / np.linalg.norm(x, axis=1, keepdims=True) * 1e6).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).filter(pa.array(ok)), pa.array([r.tobytes() for r in raw[ok]], pa.binary()), pa.array([hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in same], pa.binary())], names=["doc_id", "v", "same"]
+            )
 
     usable = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("array<float>").alias("e")).where((F.size("e") == dim) & ~F.exists("e", lambda x: x.isNull()))
     return usable.mapInArrow(scale, "doc_id long, v binary, same binary")
 
 
 def _stack(column) -> np.ndarray:
+    """Unit vectors."""
     raw = [x if isinstance(x, bytes) else bytes(x) for x in column]
-    return np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1) if raw else np.empty((0, 1), np.float32)
+    if not raw:
+        return np.empty((0, 1))
+    x = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _pieces(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Slices of the batches in which the keys don't change."""
+    for b in batches:
+        if len(b):
+            k = b[keys].to_numpy()
+            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1), len(b)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                yield tuple(k[lo]), b.iloc[lo:hi]
+
+
+class _Shard:
+    """Tree over the rows of a shard, and its search."""
+
+    def __init__(self, rows: list[pd.DataFrame]):
+        rows = pd.concat(rows)
+        order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
+        self.ids = rows["doc_id"].to_numpy()[order]
+        self.x = _stack(rows["v"])[order]
+        self.tree = VPTree(self.x)
+
+    def search(self, q: np.ndarray, who: np.ndarray, k: int, reach: float, factor: float) -> tuple[np.ndarray, np.ndarray]:
+        spot = np.minimum(np.searchsorted(self.ids, who), len(self.ids) - 1)
+        sim, row = self.tree.search(q, k, reach, factor, np.where(self.ids[spot] == who, spot, -1))
+        return sim, np.where(row >= 0, self.ids[np.maximum(row, 0)], -1)
+
+
+def _split_again(placed: DataFrame, tree, shard: int) -> tuple | int | None:
+    """The tree with its large leaves split by trees fitted on samples of their vectors; None if there is no large one.
+    Only counts of shards and the new trees (a vector per shard) reach the driver."""
+    sizes = {r["shard"]: r["count"] for r in placed.groupBy("shard").count().collect()}
+    large = [(s, min(1.0, OWN_SAMPLE / n), -(-n // shard)) for s, n in sizes.items() if n > LARGE * shard]
+    if not large:
+        return None
+    spark = placed.sparkSession
+    some = placed.join(F.broadcast(spark.createDataFrame(large, "shard long, share double, parts long")), "shard").where(F.rand(3) < F.col("share"))
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        grown = routing_tree(_stack(rows["v"]), int(rows["parts"].iloc[0]), np.random.default_rng(2))
+        return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "tree": [b"" if isinstance(grown, int) else pickle.dumps(grown)]})
+
+    grown = {r["shard"]: bytes(r["tree"]) for r in some.groupBy("shard").applyInPandas(fit, "shard long, tree binary").collect() if r["tree"]}
+    return graft(tree, grown, iter(range(max(sizes) + 1, 1 << 40))) if grown else None
 
 
 def nearest(documents: DataFrame, k: int = 5, min_cosine: float | None = None, factor: float = 4.0, queries=None, dim: int = 64, column: str = "embedding", shard: int = SHARD) -> DataFrame:
     """doc_id, neighbour_id, cosine, rank 1..k: for every vector (or those of which the condition `queries` on doc_id
     holds) its most similar other ones, of at least `min_cosine` if given. Two rounds: the home shard first, then the
-    shards within the distance of the k-th best found so far."""
+    shards within the distance of the k-th best found so far. Each shard goes to a partition of its own; where very many
+    queries visit a shard, several tasks share them."""
     spark = documents.sparkSession
-    table = settle(unit_vectors(documents, dim, column))
+    table = settle(usable_vectors(documents, dim, column))
     heads = Window.partitionBy("same").orderBy("doc_id")
-    groups = table.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    groups = settle(groups)
-    single = groups.where("copies = 1").select(F.col("rep").alias("doc_id"))
-    several = settle(groups.where("copies > 1"))
+    several = settle(table.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"))
     # the k + 1 smallest ids of each group of copies, kept while partial results are merged, so no group is gathered
     members = settle(join_hot(table.select("same", "doc_id"), several, "same", "copies", F.col("doc_id")).select("same", "rep", "doc_id", "copies"))
     parts = members.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(256)))
     few = parts.withColumn("n", F.row_number().over(Window.partitionBy("same", "part").orderBy("doc_id"))).where(F.col("n") <= k + 1)
     few = few.withColumn("n", F.row_number().over(heads)).where(F.col("n") <= k + 1)
     head = settle(few.groupBy("rep").agg(F.sort_array(F.collect_list("doc_id")).alias("head")))
-    reps = table.join(groups.select("same", F.col("rep").alias("doc_id")), ["same", "doc_id"]).select("doc_id", "v")
-    reps = settle(reps)
+    further = settle(members.where("doc_id <> rep").select("doc_id"))
+    reps = settle(join_small(table.select("doc_id", "v"), further, "doc_id", "left_anti"))
+    single = join_small(reps.select("doc_id"), settle(members.select("doc_id")), "doc_id", "left_anti")
     count = reps.count()
-    shards = max(1, -(-count // shard))
-    bound = reps.sample(min(1.0, 1.2 * SAMPLE / max(count, 1)), seed=7).limit(SAMPLE).select("v") if shards > 1 else None
-    tree = routing_tree(_stack([r[0] for r in bound.collect()]), shards, np.random.default_rng(1)) if bound is not None else 0
+    tree = 0
+    if count > shard:
+        sample = reps.sample(min(1.0, 1.2 * SAMPLE / count), seed=7).limit(SAMPLE).select("v").collect()
+        tree = routing_tree(_stack([r[0] for r in sample]), -(-count // shard), np.random.default_rng(1))
     wanted = None if queries is None else settle(join_hot_queries(table, members, queries))
     reach = 2.0 if min_cosine is None else float(np.sqrt(2 - 2 * min_cosine))
 
-    def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows, where = route(tree, _stack(b["v"]), None)
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[rows], "v": b["v"].to_numpy()[rows], "ask": b["ask"].to_numpy()[rows], "bound": np.float32(reach), "shard": where, "kind": 0})
-
-    def away(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows, where = route(tree, _stack(b["v"]), b["bound"].to_numpy() / factor)
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[rows], "v": b["v"].to_numpy()[rows], "ask": True, "bound": b["bound"].to_numpy()[rows], "shard": where, "kind": 1})
-
-    kinds = "doc_id long, v binary, ask boolean, bound float, shard long, kind int"
-
-    def search(pdf: pd.DataFrame, visitors: bool) -> pd.DataFrame:
-        base = pdf[pdf["kind"] == 0].sort_values("doc_id")
-        x = _stack(base["v"])
-        ids = base["doc_id"].to_numpy()
-        asked = pdf[pdf["kind"] == 1] if visitors else base[base["ask"]]
-        if not len(asked) or not len(ids):
-            return pd.DataFrame({"doc_id": np.empty(0, np.int64), "v": pd.Series([], dtype=object), "near": pd.Series([], dtype=object), "sim": pd.Series([], dtype=object)})
-        q = _stack(asked["v"])
-        who = asked["doc_id"].to_numpy()
-        spot = np.searchsorted(ids, who)
-        own = np.where((spot < len(ids)) & (ids[np.minimum(spot, len(ids) - 1)] == who), spot, -1)
-        sim, row = VPTree(x).search(q, k, float(asked["bound"].max()), factor, own)
-        out = np.where(row >= 0, ids[np.maximum(row, 0)], -1)
-        return pd.DataFrame({"doc_id": who, "v": asked["v"].to_numpy(), "near": list(out), "sim": list(sim)})
-
-    def at_home(pdf: pd.DataFrame) -> pd.DataFrame:
-        return search(pdf, False)
-
-    def visiting(pdf: pd.DataFrame) -> pd.DataFrame:
-        return search(pdf, True)
-
-    found = "doc_id long, v binary, near array<long>, sim array<float>"
-    ask = reps.withColumn("ask", F.lit(True)) if wanted is None else reps.join(wanted.withColumn("ask", F.lit(True)), "doc_id", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
-    n = wide(spark, min(shards, 100_000))
-    placed = settle(ask.mapInPandas(home, kinds))
-    first = settle(placed.repartition(n, "shard").groupBy("shard").applyInPandas(at_home, found))
-    hits = first.select("doc_id", F.explode(F.arrays_zip("near", "sim")).alias("h")).select("doc_id", F.col("h.near").alias("near"), F.col("h.sim").alias("sim"))
-    if shards > 1:
-        far = first.select("doc_id", "v", F.lit(True).alias("ask"), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.element_at("sim", -1))).cast("float").alias("bound")).mapInPandas(away, kinds)
-        again = placed.unionByName(far).repartition(n, "shard").groupBy("shard").applyInPandas(visiting, found)
-        hits = hits.unionByName(again.select("doc_id", F.explode(F.arrays_zip("near", "sim")).alias("h")).select("doc_id", F.col("h.near").alias("near"), F.col("h.sim").alias("sim")))
-    hits = hits.where("near >= 0")
+    def place(tree) -> DataFrame:
+        def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows, where = route(tree, _stack(b["v"]), None)
+                yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[rows], "v": b["v"].to_numpy()[rows], "ask": b["ask"].to_numpy()[rows], "shard": where})
+
+        ask = reps.withColumn("ask", F.lit(True)) if wanted is None else reps.join(wanted.withColumn("ask", F.lit(True)), "doc_id", "left").withColumn("ask", F.coalesce("ask", F.lit(False)))
+        return settle(ask.select("doc_id", "v", "ask").mapInPandas(home, "doc_id long, v binary, ask boolean, shard long"))
+
+    placed = place(tree)
+    while (more := _split_again(placed, tree, shard)) is not None:
+        tree = more
+        free(placed)
+        placed = place(tree)
+
+    def at_home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def searched(number: int, rows: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            asked = pd.concat([r[r["ask"]] for r in rows])
+            if not len(asked):
+                return
+            here = _Shard(rows)
+            for lo in range(0, len(asked), 10_000):
+                some = asked.iloc[lo : lo + 10_000]
+                q, who = _stack(some["v"]), some["doc_id"].to_numpy()
+                sim, near = here.search(q, who, k, reach, factor)
+                at, where = route(tree, q, np.sqrt(np.maximum(2 - 2 * sim[:, -1], 0)) / factor)
+                visits: list[list[int]] = [[] for _ in who]
+                for i, s in zip(at.tolist(), where.tolist()):
+                    if s != number:
+                        visits[i].append(s)
+                yield pd.DataFrame({"doc_id": who, "near": list(near), "sim": list(sim), "v": [v if w else None for v, w in zip(some["v"], visits)], "visits": visits})
+
+        held: list[pd.DataFrame] = []
+        now = None
+        for (number,), piece in _pieces(batches, ["shard"]):
+            if held and number != now:
+                yield from searched(now, held)
+                held = []
+            now = number
+            held.append(piece)
+        if held:
+            yield from searched(now, held)
+
+    def visiting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        now, here = None, None
+        for (number, salt, visitor), piece in _pieces(batches, ["shard", "salt", "visitor"]):
+            if (number, salt) != now:
+                now, here, held = (number, salt), None, []
+            if not visitor:
+                held.append(piece)
+                continue
+            if here is None:
+                here = _Shard(held)
+                held = []
+            who = piece["doc_id"].to_numpy()
+            sim, near = here.search(_stack(piece["v"]), who, k, float(piece["bound"].max()), factor)
+            yield pd.DataFrame({"doc_id": who, "near": list(near), "sim": list(sim)})
+
+    shards = placed.agg(F.max("shard")).first()[0] or 0
+    n = wide(spark, min(shards + 1, 100_000))
+    own = placed.repartitionById(n, F.pmod("shard", F.lit(n)).cast("int")).sortWithinPartitions("shard")
+    first = settle(own.mapInPandas(at_home, "doc_id long, near array<long>, sim array<double>, v binary, visits array<long>"))
+    hits = first.select("doc_id", F.explode(F.arrays_zip("near", "sim")).alias("h"))
+    if shards:
+        far = first.where("v is not null").select("doc_id", "v", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.element_at("sim", -1))).alias("bound"), F.explode("visits").alias("shard"))
+        crowd = settle(far.groupBy("shard").count().where(F.col("count") > VISITORS).select("shard", F.ceil(F.col("count") / VISITORS).cast("int").alias("salts")))
+        salts = F.coalesce("salts", F.lit(1))
+        crowd = F.broadcast(crowd)  # at most visits / VISITORS rows
+        base = placed.join(crowd, "shard", "left").select("doc_id", "v", F.lit(0.0).alias("bound"), "shard", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("visitor"))
+        guests = far.join(crowd, "shard", "left").select("doc_id", "v", "bound", "shard", F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"), F.lit(1).alias("visitor"))
+        # the tasks of a crowded shard lie apart
+        to = F.pmod(F.col("shard") + F.col("salt") * 7919, F.lit(n)).cast("int")
+        both = base.unionByName(guests).repartitionById(n, to).sortWithinPartitions("shard", "salt", "visitor")
+        hits = hits.unionByName(both.mapInPandas(visiting, "doc_id long, near array<long>, sim array<double>").select("doc_id", F.explode(F.arrays_zip("near", "sim")).alias("h")))
+    hits = hits.select("doc_id", F.col("h.near").alias("near"), F.col("h.sim").alias("sim")).where("near >= 0")
     return _spread(hits, members, head, single if wanted is None else single.join(wanted, "doc_id", "left_semi"), k, min_cosine, queries)
 
 
@@ -257,7 +355,7 @@ def _spread(hits: DataFrame, members: DataFrame, head: DataFrame, single: DataFr
     top = Window.partitionBy("rep").orderBy(F.desc("sim"), "near")
     best = hits.select(F.col("doc_id").alias("rep"), "near", "sim").withColumn("n", F.row_number().over(top)).where(F.col("n") <= k)
     # a neighbour stands for itself and its first copies
-    wide_ = best.join(head.withColumnRenamed("rep", "near"), "near", "left").select("rep", F.explode(F.coalesce("head", F.array("near"))).alias("near"), F.col("sim").cast("double").alias("cosine"))
+    wide_ = best.join(head.withColumnRenamed("rep", "near"), "near", "left").select("rep", F.explode(F.coalesce("head", F.array("near"))).alias("near"), F.least(F.lit(1.0), "sim").alias("cosine"))
     copies = head.select("rep", F.explode("head").alias("near"), F.lit(1.0).alias("cosine"))
     order = Window.partitionBy("rep").orderBy(F.desc("cosine"), "near")
     lists = wide_.unionByName(copies).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)

@@ -323,22 +323,39 @@ def vector_table(spark, x):
 
 
 def exact(x, k):
-    u = x.astype(np.float32) / np.linalg.norm(x.astype(np.float32), axis=1, keepdims=True)
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, -2)
     return np.argsort(-s, axis=1)[:, :k], s
 
 
-def test_nearest_is_exact_with_factor_one(spark):
+@pytest.mark.parametrize("large,visitors", [(3, 50_000), (1, 40)])
+def test_nearest_is_exact_with_factor_one(spark, monkeypatch, large, visitors):
+    """1, 40: shards are split again, and several tasks share the visitors of a shard."""
+    monkeypatch.setattr(vptree, "LARGE", large)
+    monkeypatch.setattr(vptree, "VISITORS", visitors)
     x = vectors()
     want, s = exact(x, 5)
     got = vptree.nearest(vector_table(spark, x), 5, factor=1.0, dim=16, shard=150).collect()
     found = defaultdict(set)
     for r in got:
         found[r.doc_id].add(r.neighbour_id)
-        assert r.cosine == pytest.approx(s[r.doc_id, r.neighbour_id], abs=1e-4)
-    hits = sum(len(found[i] & set(map(int, want[i]))) for i in range(len(x)))
-    assert set(found) == set(range(len(x))) and hits >= 0.999 * want.size
+        assert r.cosine == pytest.approx(s[r.doc_id, r.neighbour_id], abs=1e-12)
+    assert found == {i: set(map(int, want[i])) for i in range(len(x))} and len(got) == want.size
+
+
+def test_near_copies_are_told_apart(spark):
+    """Cosines above 1 - 1e-7, beyond what 32-bit products can order."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 16))
+    x = np.repeat(base, 5, axis=0) * (1 + 1e-4 * rng.normal(size=(200, 16)))
+    want, s = exact(x, 3)
+    assert s.max(axis=1).min() > 1 - 1e-7
+    found = defaultdict(set)
+    for r in vptree.nearest(vector_table(spark, x), 3, factor=1.0, dim=16, shard=60).collect():
+        found[r.doc_id].add(r.neighbour_id)
+    assert found == {i: set(map(int, want[i])) for i in range(len(x))}
 
 
 def test_nearest_recall_and_queries(spark):
