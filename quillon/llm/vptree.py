@@ -366,7 +366,7 @@ def _spread(hits: DataFrame, members: DataFrame, head: DataFrame, single: DataFr
     return out if min_cosine is None else out.where(F.col("cosine") >= min_cosine)
 
 
-def similar_vector_pairs(documents: DataFrame, k: int = 5, min_cosine: float = 0.9, factor: float = 6.0, **more) -> DataFrame:
+def similar_vector_pairs(documents: DataFrame, k: int = 5, min_cosine: float = 0.9, factor: float = 3.0, **more) -> DataFrame:
     """doc_id_a < doc_id_b: pairs of at least min_cosine of which one is among the k most similar of the other."""
     near = nearest(documents, k, min_cosine, factor, **more)
     return near.select(F.least("doc_id", "neighbour_id").alias("doc_id_a"), F.greatest("doc_id", "neighbour_id").alias("doc_id_b"), "cosine").groupBy("doc_id_a", "doc_id_b").agg(F.max("cosine").alias("cosine"))
