@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.components import connected_components
-from quillon.session import join_hot, join_small, settle, wide
+from quillon.session import BROADCAST_BYTES, free, join_hot, join_small, settle, size_of, wide
 
 LANES = 160
 #: Members up to which a bucket is verified around its smallest document.
 BUCKET = 64
-#: Documents of larger buckets are verified in blocks of this size, every block with every other one of its component.
+#: Documents of larger buckets are verified in blocks of this size, every block with every other one of its bucket.
 BLOCK = 512
+#: Copies in one block of a class when all pairs are written out.
+COPIES = 1_000
 _U = np.uint64
 _table: list[np.ndarray] = []
 
@@ -236,12 +238,12 @@ def similar_pairs(documents: DataFrame, threshold: float = 0.8, shingle: int = 5
     """(classes, pairs). classes: doc_id, rep, the smallest doc_id with the same elements. pairs: a < b, both
     representatives, with their similarity of at least `threshold`.
 
-    Copies are collapsed before anything is compared, so a class that holds a third of all rows costs one row. Each
-    bucket of a band links its members to its smallest one (members - 1 links, never all pairs). A document and what
-    its buckets of up to `bucket` members link to it form one group, of bounded size, in which any two members of such
-    a bucket meet. Larger buckets are joined to components, which are cut into blocks of about `block` documents that
-    meet pair by pair. Each group is verified exactly. `lanes` sets the length of the signatures: more of them allow
-    longer bands, hence fewer accidental links in a larger collection."""
+    Copies are collapsed before anything is compared, so a class that holds a third of all rows costs one row. Of
+    buckets with the same members, in whatever bands, one is kept. Each bucket of up to `bucket` members links its
+    members to its smallest one (members - 1 links, never all pairs); a document and what these buckets link to it form
+    one group, in which any two members of such a bucket meet. Larger buckets are cut into blocks of about `block`
+    documents that meet pair by pair, so no task sees more than two blocks. Each group is verified exactly. `lanes` sets
+    the length of the signatures: more of them allow longer bands, hence fewer accidental links in a larger collection."""
     spark = documents.sparkSession
     bands, rows = banding(threshold, lanes)
     texts = documents.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -252,41 +254,51 @@ def similar_pairs(documents: DataFrame, threshold: float = 0.8, shingle: int = 5
     classes = join_small(sketch.select("doc_id"), again, "doc_id", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
     single = join_small(sketch.select("doc_id", "keys"), again.select("doc_id"), "doc_id", "left_anti")
     keyed = single.select("doc_id", F.explode("keys").alias("key"))
-    buckets = settle(keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("members")).where("members > 1"))
-    if buckets.count() <= 2_000_000:
-        links = keyed.join(F.broadcast(buckets), "key")
+    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("members"), F.bit_xor(F.xxhash64("doc_id")).alias("all")).where("members > 1")
+    buckets = settle(buckets.groupBy("low", "members", "all").agg(F.min("key").alias("key")).select("key", "low", "members"))
+    if size_of(buckets) <= BROADCAST_BYTES and buckets.count() <= 2_000_000:
+        linked = keyed.join(F.broadcast(buckets), "key")
     else:
-        links = join_hot(keyed, buckets, "key", "members", F.col("doc_id"))
-    links = settle(links.where("doc_id <> low").groupBy(F.col("low").alias("a"), F.col("doc_id").alias("b")).agg(F.min("members").alias("least"), F.max("members").alias("most")))
-    near = links.where(F.col("least") <= bucket)
+        linked = join_hot(keyed, buckets, "key", "members", F.col("doc_id"))
+    linked = settle(linked.select("key", "doc_id", "low", "members"))
+    near = linked.where((F.col("members") <= bucket) & (F.col("doc_id") != F.col("low"))).select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
     none = [F.lit(0).alias(c) for c in ("lo", "hi", "block")]
     groups = near.select(F.lit(0).alias("kind"), F.col("a").alias("grp"), *none, F.col("b").alias("doc_id")).unionByName(near.select(F.lit(0).alias("kind"), F.col("a").alias("grp"), *none, F.col("a").alias("doc_id")).distinct())
-    large = links.where(F.col("most") > bucket)
-    if not large.isEmpty():
-        labels = settle(connected_components(large))
-        sizes = settle(labels.groupBy("component").agg(F.count("*").alias("members")))
-        placed = join_hot(labels, sizes, "component", "members", F.col("node"))
-        placed = placed.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
-        placed = placed.select(F.lit(1).alias("kind"), F.col("component").alias("grp"), F.col("node").alias("doc_id"), "block", F.explode(others).alias("p"))
-        groups = groups.unionByName(placed.select("kind", "grp", "p.lo", "p.hi", "block", "doc_id"))
+    large = linked.where(F.col("members") > bucket).withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
+    large = large.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
+    large = large.select(F.lit(1).alias("kind"), F.col("key").alias("grp"), "doc_id", "block", F.explode(others).alias("p"))
+    groups = settle(groups.unionByName(large.select("kind", "grp", "p.lo", "p.hi", "block", "doc_id")))
     key = ["kind", "grp", "lo", "hi"]
-    ready = join_small(sketch.select("doc_id", "elements"), settle(groups), "doc_id", most=2_000_000).select(*key, "block", "doc_id", "elements")
+    ready = join_small(sketch.select("doc_id", "elements"), groups, "doc_id", most=2_000_000).select(*key, "block", "doc_id", "elements")
     ready = ready.repartition(wide(spark), *key).sortWithinPartitions(*key)
     pairs = ready.mapInArrow(_verify(threshold), "a long, b long, similarity double")
-    return classes, settle(pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
+    pairs = settle(pairs.groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
+    classes = settle(classes)
+    free(sketch, copied, again, buckets, linked, groups)
+    return classes, pairs
 
 
 def near_duplicate_pairs(documents: DataFrame, threshold: float = 0.8, shingle: int = 5, **more) -> DataFrame:
-    """doc_id_a < doc_id_b, similarity: every pair of documents of at least the threshold, copies included."""
+    """doc_id_a < doc_id_b, similarity: every pair of documents of at least the threshold, copies included. Classes of
+    very many copies are cut into blocks of about COPIES members, which meet pair by pair, in keys of their own."""
     classes, pairs = similar_pairs(documents, threshold, shingle, **more)
-    classes = settle(classes)
-    both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other"), "similarity")
-    sized = classes.groupBy("rep").agg(F.count("*").alias("members"))
-    same = classes.join(sized.where("members > 1"), "rep").select("rep", "doc_id")
-    inner = same.alias("x").join(same.alias("y"), F.expr("x.rep = y.rep and x.doc_id < y.doc_id")).select(F.col("x.doc_id").alias("p"), F.col("y.doc_id").alias("q"), F.lit(1.0).alias("similarity"))
-    left = both.join(classes.withColumnRenamed("doc_id", "p"), "rep").drop("rep")
-    outer = left.join(classes.select(F.col("rep").alias("other"), F.col("doc_id").alias("q")), "other").select("p", "q", "similarity")
+    sized = settle(classes.groupBy("rep").agg(F.count("*").alias("members")).where("members > 1"))
+    hot = join_hot(classes, sized, "rep", "members", F.col("doc_id")).select("rep", "doc_id", F.ceil(F.col("members") / COPIES).cast("int").alias("blocks"))
+    hot = settle(hot.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = hot.select("rep", "block", every.alias("other"), F.col("doc_id").alias("p"))
+    right = hot.select("rep", every.alias("block"), F.col("block").alias("other"), F.col("doc_id").alias("q"))
+    inner = left.join(right, ["rep", "block", "other"]).where("p < q").select("p", "q", F.lit(1.0).alias("similarity"))
+
+    def expanded(rows: DataFrame, end: str, name: str) -> DataFrame:
+        """Each class at `end` replaced by its members, block by block; classes of one document are themselves."""
+        blocks = sized.select(F.col("rep").alias(end), F.ceil(F.col("members") / COPIES).cast("int").alias("blocks"))
+        marked = join_small(rows, blocks, end, "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks") - 1, F.lit(0)))))
+        own = hot.select(F.col("rep").alias(end), "block", F.col("doc_id").alias(name))
+        return marked.join(own, [end, "block"], "left").withColumn(name, F.when(F.col("blocks").isNull(), F.col(end)).otherwise(F.col(name))).where(F.col(name).isNotNull()).drop(end, "block", "blocks")
+
+    outer = expanded(expanded(pairs, "a", "p"), "b", "q").select("p", "q", "similarity")
     return inner.unionByName(outer).select(F.least("p", "q").alias("doc_id_a"), F.greatest("p", "q").alias("doc_id_b"), "similarity")
 
 
@@ -294,7 +306,6 @@ def near_duplicate_groups(documents: DataFrame, threshold: float = 0.8, shingle:
     """One row per document that has elements: doc_id, group_id (smallest doc_id that a chain of similar pairs leads
     to), rep (smallest doc_id with the same elements), links (similar classes other than its own), group_size."""
     classes, pairs = similar_pairs(documents, threshold, shingle, **more)
-    classes = settle(classes)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     labels = connected_components(pairs.select("a", "b")).join(ends.withColumnRenamed("rep", "node"), "node")
     labels = settle(labels.select(F.col("node").alias("rep"), "component", "links"))

@@ -189,15 +189,26 @@ def jaccard_pairs(texts, k, threshold):
     return {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9}
 
 
-@pytest.mark.parametrize("bucket,block", [(64, 512), (2, 3)])
-def test_near_duplicates(spark, bucket, block):
-    """(2, 3): nearly all buckets count as large and go through components and pairs of blocks."""
+@pytest.mark.parametrize("bucket,block,copies", [(64, 512, 1000), (2, 3, 2)])
+def test_near_duplicates(spark, monkeypatch, bucket, block, copies):
+    """(2, 3, 2): nearly all buckets count as large and go through pairs of blocks, as do classes of copies."""
+    monkeypatch.setattr(neardup, "COPIES", copies)
     texts = similar_texts()
     want = jaccard_pairs(texts, 3, 0.6)
     got = {(r.doc_id_a, r.doc_id_b) for r in neardup.near_duplicate_pairs(docs(spark, texts), 0.6, 3, bucket=bucket, block=block).collect()}
     assert got <= want and len(want - got) <= 0.01 * len(want)
 
 
+def test_class_of_a_third_of_the_rows(spark):
+    """One row per class is compared, however many copies it has."""
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    other = {3000 + i: f"{i} " + " ".join(f"w{i}x{j}" for j in range(20)) for i in range(600)}
+    texts = {i: text for i in range(300)} | {1000: text + " more"} | other
+    classes, pairs = neardup.similar_pairs(docs(spark, texts), 0.6, 3)
+    assert [(r.a, r.b) for r in pairs.collect()] == [(0, 1000)] and classes.where("rep = 0").count() == 300
+    assert neardup.near_duplicate_pairs(docs(spark, texts), 0.6, 3).count() == 300 * 299 // 2 + 300
+
+
 def test_near_duplicate_groups(spark):
     texts = similar_texts()
     rows = neardup.near_duplicate_groups(docs(spark, texts), 0.6, 3).collect()
