@@ -11,6 +11,8 @@ doc_id; capacities that are null or below 1 are ignored; repeated documents are
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from quillon.llm.tokens import VOCABULARY, sized
 from quillon.session import settle, wide
 
 GROUP = 20_000
-MOST_BUDGETS = 1_000
+LITERALS = 500
 
 
 def first_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
@@ -57,16 +59,15 @@ def _pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 def containers(documents: DataFrame, budgets: DataFrame, group: int = GROUP, seed: int = 11, vocabulary: str = VOCABULARY) -> DataFrame:
     """budget_id, container_id, doc_id, piece, token_start, tokens: every document in a container of every budget."""
     spark = documents.sparkSession
-    caps = budgets.where("capacity_tokens >= 1").select("budget_id", "capacity_tokens").distinct().limit(MOST_BUDGETS + 1).collect()
-    if len(caps) > MOST_BUDGETS:
-        raise ValueError(f"more than {MOST_BUDGETS} budgets")
+    caps = budgets.where("capacity_tokens >= 1").select("budget_id", "capacity_tokens").distinct().collect()  # settings, a row per budget
     schema = "budget_id int, container_id string, doc_id long, piece int, token_start long, tokens long"
     if not caps:
         return spark.createDataFrame([], schema)
     sizes = settle(sized(documents, vocabulary).select("doc_id", "tokens"))
     groups = max(1, -(-sizes.count() // group))
-    budget = F.explode(F.array(*[F.struct(F.lit(b).cast("int").alias("budget_id"), F.lit(c).cast("long").alias("capacity")) for b, c in caps]))
-    items = sizes.select("doc_id", "tokens", budget.alias("b")).select("doc_id", "tokens", "b.budget_id", "b.capacity")
+    # literals of bounded length; every document is due in every budget
+    arrays = [F.array(*[F.struct(F.lit(b).cast("int").alias("budget_id"), F.lit(c).cast("long").alias("capacity")) for b, c in caps[i : i + LITERALS]]) for i in range(0, len(caps), LITERALS)]
+    items = reduce(DataFrame.unionByName, [sizes.select("doc_id", "tokens", F.explode(a).alias("b")) for a in arrays]).select("doc_id", "tokens", "b.budget_id", "b.capacity")
     full = F.floor(F.col("tokens") / F.col("capacity")).cast("int")
     items = items.withColumn("full", F.when(F.col("tokens") > F.col("capacity"), full).otherwise(0))
     whole = items.where("full > 0").select("budget_id", "doc_id", "capacity", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece"))
