@@ -7,9 +7,11 @@ of two undecided documents, mass (in tokens) is moved at random from one to the
 undecided document, and these are settled the same way in blocks of blocks, until one document per source is left,
 which is drawn. The tokens of a source thus differ from its target by less than one document.
 
-The total is `total_tokens`, or else all tokens that the target sources hold. A source whose documents, each used as
-often as its cap allows, hold less than its share of that falls short, and the shares reached say so; with
-`exact=True` the total is the largest at which no source falls short.
+The total is `total_tokens`, or else the largest at which the shares planned are off by at most `tolerance`, as the sum
+of what all sources have too much, but no more than all tokens that the target sources hold. A source whose documents,
+each used as often as its cap allows, hold less than its share of the total falls short; with tolerance 0 (or
+`exact=True`) none does. The shares reached are reported, beside them the largest document of each source, which bounds
+what rounding leaves them off by.
 
 Defined results: null texts, texts without tokens and documents of sources without a positive target are not used; a
 target source without documents is reported with share 0 and ignored for the total. A source listed twice counts once
@@ -67,15 +69,35 @@ def _settle_block(seed: int, last: bool):
     return run
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, exact: bool = False, seed: int = 5, block: int = BLOCK, vocabulary: str = VOCABULARY) -> DataFrame:
+def planned_total(sources: list[tuple[float, float]], most: float, tolerance: float) -> float:
+    """Largest total up to `most` at which the shares are off by at most the tolerance. sources: (share, tokens if every
+    document is used as often as its cap allows)."""
+
+    def off(total: float) -> float:
+        got = [min(share * total, cap) for share, cap in sources]
+        whole, want = sum(got), sum(share for share, _ in sources)
+        return sum(max(0.0, g / whole - share / want) for g, (share, _) in zip(got, sources)) if whole else 0.0
+
+    low, high = min([most, *(cap / share for share, cap in sources)]), most  # nothing is off at the lower end
+    if off(high) <= tolerance:
+        return high
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if off(middle) <= tolerance else (low, middle)
+    return low
+
+
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, exact: bool = False, tolerance: float = 0.05, seed: int = 5, block: int = BLOCK, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, source, tokens, copies of every document that is used."""
     spark = documents.sparkSession
     sizes = settle(sized(documents, vocabulary).where("tokens > 0 and source is not null"))
     want = targets.where("target_share > 0 and max_repeats > 0 and source is not null").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap"))
     have = sizes.groupBy("source").agg(F.sum("tokens").alias("held"), F.count("*").alias("docs"))
     plan = settle(have.join(want, "source"))
-    bounds = plan.agg(F.sum("held"), F.min(F.col("cap") * F.col("held") / F.col("share"))).first()
-    total = total_tokens if total_tokens is not None else (bounds[1] if exact else bounds[0]) or 0.0
+    total = total_tokens
+    if total is None:  # a row per target source reaches the driver
+        rows = plan.select("share", F.col("cap") * F.col("held"), "held").collect()
+        total = planned_total([(r[0], float(r[1])) for r in rows], float(sum(r[2] for r in rows)), 0.0 if exact else tolerance)
     due = F.least(F.col("cap").cast("double"), F.lit(float(total)) * F.col("share") / F.col("held"))
     plan = plan.select("source", F.floor(due + 1e-12).alias("base"), F.greatest(F.lit(0.0), due - F.floor(due + 1e-12)).alias("p"), F.ceil(F.col("docs") / block).alias("blocks"))
     rows = sizes.join(plan, "source").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")))
@@ -99,8 +121,9 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = N
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """source, target_share, max_repeats, documents, most_copies, tokens, actual_share of every target source."""
-    per = mixed.groupBy("source").agg(F.count("*").alias("documents"), F.max("copies").alias("most_copies"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
+    """source, target_share, max_repeats, documents, most_copies, tokens, largest (tokens of the largest document used,
+    more than which rounding can't leave the source off by), actual_share, of every target source."""
+    per = mixed.groupBy("source").agg(F.count("*").alias("documents"), F.max("copies").alias("most_copies"), F.max("tokens").alias("largest"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
     total = per.agg(F.sum("tokens")).first()[0] or 1
-    out = targets.select("source", "target_share", "max_repeats").join(per, "source", "left").fillna(0, ["documents", "most_copies", "tokens"])
+    out = targets.select("source", "target_share", "max_repeats").join(per, "source", "left").fillna(0, ["documents", "most_copies", "largest", "tokens"])
     return out.withColumn("actual_share", F.col("tokens") / F.lit(float(total)))

@@ -142,8 +142,8 @@ def test_chunks(spark):
 # --- p4
 
 
-@pytest.mark.parametrize("part", [200, 3])
-def test_pairs(spark, part):
+@pytest.mark.parametrize("part,giant", [(200, 20_000), (2, 20_000), (2, 3)])
+def test_pairs(spark, part, giant):
     rng = random.Random(1)
     rows = [(rng.choice([f"N{i}", f"n{i}"]), None, [f"d{rng.randint(0, 12)}" for _ in range(rng.randint(0, 9))] + [None]) for i in [rng.randint(0, 15) for _ in range(60)]] + [(None, "X", ["d1"]), ("z", "X", None), ("z2", "X", [])]
     held = defaultdict(set)
@@ -154,13 +154,19 @@ def test_pairs(spark, part):
     n = len(set().union(*held.values()))
     want = {(a, b): (len(held[a] & held[b]), len(held[a]), len(held[b])) for a in held for b in held if a < b and held[a] & held[b]}
     table = spark.createDataFrame(rows, "name string, entity_type string, doc_ids array<string>")
-    got = cooccurrence.cooccurring_pairs(table, part=part).collect()
+    got = cooccurrence.cooccurring_pairs(table, part=part, giant=giant).collect()
     assert {(r.source, r.target): (r.n_ab, r.n_a, r.n_b) for r in got} == want and all(r.n_docs == n for r in got)
     assert all(r.lift == pytest.approx(r.n_ab * n / r.n_a / r.n_b) for r in got) and all((r.conviction is None) == (r.n_ab == r.n_a) for r in got)
     assert {(r.source, r.target) for r in cooccurrence.cooccurring_pairs(table, least=4).collect()} == {k for k, v in want.items() if v[0] >= 4}
     assert cooccurrence.cooccurring_pairs(table.limit(0)).collect() == []
 
 
+def test_giant_basket(spark):
+    table = spark.range(1500).selectExpr("concat('n', id) as name", "null as entity_type", "array('d', if(id < 3, 'e', null)) as doc_ids")
+    pairs = cooccurrence.cooccurring_pairs(table, giant=1000)
+    assert pairs.count() == 1500 * 1499 // 2 and pairs.where("n_ab = 2").count() == 3
+
+
 # --- p5
 
 
@@ -424,6 +430,12 @@ def test_containers(spark):
     assert packing.containers(docs(spark, {}), budgets).collect() == [] and packing.containers(table, budgets.limit(0)).collect() == []
 
 
+def test_planned_total():
+    sources = [(0.5, 1000.0), (0.3, 90.0), (0.2, 500.0)]
+    assert mixing.planned_total(sources, 2000, 0.0) == pytest.approx(300) and mixing.planned_total(sources, 200, 0.0) == 200
+    assert mixing.planned_total(sources, 2000, 1.0) == 2000 and 300 < mixing.planned_total(sources, 2000, 0.1) < 2000
+
+
 def test_pivotal_keeps_sum_and_expectation():
     taken, runs = Counter(), 3000
     for seed in range(runs):
@@ -447,7 +459,12 @@ def test_mix(spark, block):
     for s, share, cap in (("a", 0.5, 3), ("b", 0.3, 2), ("c", 0.2, 2)):
         mine = [r for r in exact_mix if r.source == s]
         assert abs(sum(r.tokens * r.copies for r in mine) - share * total) < 200 and max(r.copies for r in mine) <= cap
-    free = mixing.mix(table, targets, block=block)
+    free = mixing.mix(table, targets, tolerance=1.0, block=block)
+    some = mixing.mix(table, targets, tolerance=0.1, block=block)
+    used = [m.selectExpr("sum(tokens * copies)").first()[0] for m in (free, some)]
+    assert total < used[1] < used[0]
+    reached = mixing.shares(some, targets).collect()
+    assert sum(max(0, r.actual_share - r.target_share) for r in reached) < 0.1 + 3 * 200 / used[1] and all(r.largest <= 61 for r in reached)
     assert all(r.most_copies <= r.max_repeats for r in mixing.shares(free, targets).collect())
     assert free.groupBy("doc_id").count().where("count > 1").isEmpty()
     assert [tuple(r) for r in sorted(exact_mix)] == [tuple(r) for r in sorted(mixing.mix(table, targets, exact=True, block=block).collect())]
