@@ -38,7 +38,7 @@ LEAF = 256
 #: A shard of more than LARGE * SHARD vectors is split again, by a tree fitted on about this number of its rows.
 LARGE, OWN_SAMPLE = 3, 8_000
 #: Queries from elsewhere that one task answers in a shard, about.
-VISITORS = 50_000
+VISITORS = 20_000
 SLACK = 1e-7
 
 
@@ -331,6 +331,7 @@ def nearest(documents: DataFrame, k: int = 5, min_cosine: float | None = None, f
     if shards:
         far = first.where("v is not null").select("doc_id", "v", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.element_at("sim", -1))).alias("bound"), F.explode("visits").alias("shard"))
         crowd = settle(far.groupBy("shard").count().where(F.col("count") > VISITORS).select("shard", F.ceil(F.col("count") / VISITORS).cast("int").alias("salts")))
+        n = wide(spark, min(shards + 1 + (crowd.agg(F.sum(F.col("salts") - 1)).first()[0] or 0), 100_000))
         salts = F.coalesce("salts", F.lit(1))
         crowd = F.broadcast(crowd)  # at most visits / VISITORS rows
         base = placed.join(crowd, "shard", "left").select("doc_id", "v", F.lit(0.0).alias("bound"), "shard", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("visitor"))

@@ -347,7 +347,7 @@ def exact(x, k):
     return np.argsort(-s, axis=1)[:, :k], s
 
 
-@pytest.mark.parametrize("large,visitors", [(3, 50_000), (1, 40)])
+@pytest.mark.parametrize("large,visitors", [(3, 20_000), (1, 40)])
 def test_nearest_is_exact_with_factor_one(spark, monkeypatch, large, visitors):
     """1, 40: shards are split again, and several tasks share the visitors of a shard."""
     monkeypatch.setattr(vptree, "LARGE", large)
