@@ -76,7 +76,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries: every document whose doc_id is divisible by 100, against all documents."""
-    return vptree.nearest(read_table(spark, sf_dir, "documents"), k=5, factor=1.5, queries=F.expr("doc_id % 100 = 0"))
+    near = vptree.nearest(read_table(spark, sf_dir, "documents"), k=5, factor=1.5, queries=F.expr("doc_id % 100 = 0"))
+    return near.withColumn("cosine", F.round("cosine", 6))
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
