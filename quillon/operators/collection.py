@@ -1,7 +1,9 @@
 """Collections: named tables of (id, text, metadata, embedding, source_id, chunk_index) kept as Parquet snapshots.
 
-A write makes a new snapshot folder and then moves a pointer file, so readers see the old or the new state and nothing in
-between. One writer at a time. Rows are spread by a hash of the id over files sorted by id.
+A write makes a new snapshot folder with the next number. The snapshot that holds is the complete one (with Spark's
+_SUCCESS mark, which is written last) of the highest number, so readers see the old or the new state and nothing in
+between, and a writer that dies leaves the old one. The snapshot before it stays for the queries that still read it.
+One writer at a time. Rows are spread by a hash of the id; how many files that makes follows their size (AQE).
 """
 
 from __future__ import annotations
@@ -16,27 +18,30 @@ from quillon.functions.columns import condition
 from quillon.operators.search import top_k
 
 SCHEMA = "id string, text string, metadata map<string,string>, embedding array<float>, source_id string, chunk_index int"
-_CURRENT = "_current"
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _snapshots(spark: SparkSession, path: str) -> list[str]:
+    """Complete snapshots in the order they were written."""
+    fs, p = _folder(spark, path)
+    if not fs.exists(p):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(p))
+    return [n for n in names if n.startswith("v-") and fs.exists(_folder(spark, f"{path}/{n}/_SUCCESS")[1])]
 
 
 class Collection:
-    def __init__(self, spark: SparkSession, folder: str, name: str, metric: str = "l2sq", files: int = 8):
-        self.spark, self.name, self.metric, self.files = spark, name, metric, files
+    def __init__(self, spark: SparkSession, folder: str, name: str, metric: str = "l2sq"):
+        self.spark, self.name, self.metric = spark, name, metric
         self.path = f"{folder.rstrip('/')}/{name}"
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
     def snapshot(self) -> str | None:
-        fs, p = self._fs(f"{self.path}/{_CURRENT}")
-        if not fs.exists(p):
-            return None
-        stream = fs.open(p)
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
+        found = _snapshots(self.spark, self.path)
+        return found[-1] if found else None
 
     def rows(self) -> DataFrame:
         name = self.snapshot()
@@ -45,30 +50,27 @@ class Collection:
         return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{name}")
 
     def _write(self, rows: DataFrame) -> None:
-        old, new = self.snapshot(), f"v-{uuid.uuid4().hex}"
-        rows.select([F.col(f.split()[0]) for f in SCHEMA.split(", ")]).repartition(self.files, "id").sortWithinPartitions("id").write.parquet(f"{self.path}/{new}")
-        fs, p = self._fs(f"{self.path}/{_CURRENT}.new")
-        out = fs.create(p, True)
-        out.write(bytearray(new.encode()))
-        out.close()
-        _, target = self._fs(f"{self.path}/{_CURRENT}")
-        fs.delete(target, False)
-        fs.rename(p, target)
-        if old:
-            fs.delete(self._fs(f"{self.path}/{old}")[1], True)
+        found = _snapshots(self.spark, self.path)
+        number = int(found[-1].split("-")[1]) + 1 if found else 1
+        new = f"v-{number:012d}-{uuid.uuid4().hex}"
+        rows.select([F.col(f.split()[0]) for f in SCHEMA.split(", ")]).repartition("id").sortWithinPartitions("id").write.parquet(f"{self.path}/{new}")
+        fs, _ = _folder(self.spark, self.path)
+        for old in found[:-1]:
+            fs.delete(_folder(self.spark, f"{self.path}/{old}")[1], True)
 
     @staticmethod
-    def conformed(rows: DataFrame) -> DataFrame:
-        """The collection's columns of any rows with id, text and embedding; of repeated ids the last (by source, chunk,
-        text) stays."""
+    def conformed(rows: DataFrame, arrival: str | None = None) -> DataFrame:
+        """The collection's columns of any rows with id, text and embedding; of repeated ids the last to arrive stays.
+        Rows arrive in the order of the column `arrival`, else in that of the frame (of the list or the files it is from)."""
         have = dict(rows.dtypes)
         cols = [(F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in (f.split(" ", 1) for f in SCHEMA.split(", "))]
-        last = Window.partitionBy("id").orderBy(F.desc_nulls_last("source_id"), F.desc_nulls_last("chunk_index"), F.desc_nulls_last("text"))
-        return rows.select(cols).withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+        number = F.col(arrival) if arrival else F.monotonically_increasing_id()
+        last = Window.partitionBy("id").orderBy(F.desc_nulls_last("_arrival"))
+        return rows.select(*cols, number.alias("_arrival")).withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "_arrival")
 
-    def upsert(self, rows: DataFrame) -> None:
+    def upsert(self, rows: DataFrame, arrival: str | None = None) -> None:
         """Blank texts are refused before anything is written."""
-        new = self.conformed(rows).persist()
+        new = self.conformed(rows, arrival).persist()
         try:
             if not new.where(F.col("text").isNull() | (F.length(F.regexp_replace("text", r"(?U)\s+", "")) == 0)).isEmpty():
                 raise ValueError("a document has no text")
@@ -114,9 +116,7 @@ def upserted(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def collection_names(spark: SparkSession, folder: str) -> list[str]:
-    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, p = _folder(spark, folder)
     if not fs.exists(p):
         return []
-    Path = spark._jvm.org.apache.hadoop.fs.Path
-    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and fs.exists(Path(s.getPath(), _CURRENT)))
+    return sorted(name for s in fs.listStatus(p) if s.isDirectory() and _snapshots(spark, f"{folder}/{(name := s.getPath().getName())}"))

@@ -55,7 +55,7 @@ def bm25(rows: DataFrame, query: str, key: str = "id", text: str = "text") -> Da
         idf = F.when(df == 0, 0.0).when(idf < 0, EPSILON * F.col("mean_idf")).otherwise(idf)
         gain = tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
         score = score + wanted.count(term) * F.when(tf > 0, idf * gain).otherwise(0.0)
-    return counted.join(F.broadcast(one), how="left").select(key, F.round(score, 6).alias("score"))
+    return counted.join(F.broadcast(one), how="left").select(key, F.round(score, 12).alias("score"))
 
 
 def ranks(scored: DataFrame, order: list[Column], most: int | None = None) -> DataFrame:

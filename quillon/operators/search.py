@@ -10,10 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.columns import condition, distance, doubles, vector, words
+from quillon.functions.columns import distance, doubles, vector, words
+from quillon.session import settle, wide
 
-#: Rows of queries that may be sent to every task; more are cut into that many at a time.
-QUERY_BLOCK = 5_000
+#: Queries and rows in one block of the kNN join: a matrix of their distances is 32 MB.
+QUERY_BLOCK, ROW_BLOCK = 1_000, 4_000
+#: Digits that ranking goes by, beyond the precision of the vectors, so that equal vectors tie; results show six.
+DIGITS = 12
 
 
 def top_k(rows: DataFrame, query: list[float] | Column, k: int, where: Column | None = None, metric: str = "l2sq", embedding: str = "embedding", key: str = "id") -> DataFrame:
@@ -23,10 +26,14 @@ def top_k(rows: DataFrame, query: list[float] | Column, k: int, where: Column |
         raise ValueError("k must be at least 1")
     q = vector(query) if isinstance(query, list) else query
     kept = rows if where is None else rows.where(where)
-    scored = kept.withColumn("distance", F.round(distance(F.col(embedding), q, metric), 6) + F.lit(0.0)).where("distance is not null and not isnan(distance)")
+    scored = _scored(kept, q, metric, embedding).where("not isnan(distance)")
     return scored.orderBy("distance", key).limit(k)
 
 
+def _scored(rows: DataFrame, q: Column, metric: str, embedding: str) -> DataFrame:
+    return rows.withColumn("distance", F.round(distance(F.col(embedding), q, metric), DIGITS) + F.lit(0.0)).where("distance is not null")
+
+
 def ranked(top: DataFrame, key: str = "id", score: Column | None = None) -> DataFrame:
     """Adds rank 1.. to a result of at most k rows."""
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("distance") if score is None else score, key)))
@@ -40,65 +47,74 @@ def post_filtered(rows: DataFrame, query: list[float] | Column, k: int, where: C
 def top_k_per_group(rows: DataFrame, query: list[float] | Column, group: str, k: int, metric: str = "l2sq", embedding: str = "embedding", key: str = "id") -> DataFrame:
     """Best k of each group. Catalyst limits each group before the shuffle (WindowGroupLimit), so hot groups stay small."""
     q = vector(query) if isinstance(query, list) else query
-    scored = rows.withColumn("distance", F.round(distance(F.col(embedding), q, metric), 6) + F.lit(0.0)).where("distance is not null")
+    scored = _scored(rows, q, metric, embedding)
     w = Window.partitionBy(group).orderBy("distance", key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _blocks(rows: DataFrame, key: str, embedding: str, size: int) -> DataFrame:
+    """block, dim, keys, x: rows packed into matrices of at most `size` rows of one length."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lengths = np.array([len(v) for v in b.column(1)], np.int64)
+            for dim in np.unique(lengths):
+                at = np.flatnonzero(lengths == dim)
+                for lo in range(0, len(at), size):
+                    some = b.take(pa.array(at[lo : lo + size]))
+                    x = some.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    keys = pa.ListArray.from_arrays(pa.array([0, some.num_rows], pa.int32()), some.column(0))
+                    yield pa.RecordBatch.from_arrays([pa.array([int(dim)], pa.int32()), keys, pa.array([x.tobytes()], pa.binary())], names=["dim", "keys", "x"])
+
+    usable = rows.select(key, doubles(embedding).alias("_v")).where(F.col(key).isNotNull() & (F.size("_v") > 0))
+    return usable.mapInArrow(pack, f"dim int, keys array<{kind}>, x binary").withColumn("block", F.monotonically_increasing_id())
+
+
+def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "l2sq":
+        d = np.zeros((len(q), len(x)))
+        for i in range(q.shape[1]):  # by differences: the product formula loses digits of near vectors
+            d += (q[:, i, None] - x[None, :, i]) ** 2
+        return d
+    d = -q @ x.T
+    if metric == "cosine":
+        n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+        d = 1 + np.divide(d, n, out=np.zeros_like(d), where=n > 0)
+    return d
+
+
 def knn_join(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine", embedding: str = "embedding", query_key: str = "query_id", key: str = "id") -> DataFrame:
-    """query_key, key, distance, rank for a stated set of queries against all rows: blocks of queries of bounded size go to
-    every task, which multiplies matrices and keeps k rows per query; only those are shuffled."""
-    found = None
-    ids = queries.select(query_key, doubles(embedding).alias("v")).where("v is not null").toLocalIterator(prefetchPartitions=True)
-    block: list = []
-
-    def flush(block: list) -> DataFrame:
-        names = pa.array([b[0] for b in block])
-        dim = len(block[0][1])
-        q = np.array([b[1] for b in block], np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: list = []
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                if metric == "l2sq":
-                    d = ((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2) if len(q) * len(x) * dim < 5e7 else np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * q @ x.T, 0)
-                else:
-                    d = -q @ x.T
-                    if metric == "cosine":
-                        n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
-                        d = 1 + np.divide(d, n, out=np.zeros_like(d), where=n > 0)
-                d = np.round(d, 6) + 0.0
-                keys = np.array(b.column(0).to_pylist(), dtype=object)
-                for i in range(len(q)):
-                    near = np.argpartition(d[i], k - 1)[:k] if len(x) > k else np.arange(len(x))
-                    # all ties of the k-th, so that the smaller key can win
-                    near = np.flatnonzero(d[i] <= d[i][near].max())
-                    best += sorted((d[i][j], keys[j], i) for j in near)[:k]
-            best.sort(key=lambda r: (r[2], r[0], r[1]))
-            kept, seen = [], {}
-            for r in best:
-                seen[r[2]] = seen.get(r[2], 0) + 1
-                if seen[r[2]] <= k:
-                    kept.append(r)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array([r[2] for r in kept], pa.int64())), pa.array([r[1] for r in kept], types[1]), pa.array([r[0] for r in kept], pa.float64())], names=[query_key, key, "distance"])
-
-        kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema, *rows.schema]}
-        types = (None, pa.int64() if kinds[key] in ("bigint", "int") else pa.string())
-        vectors = rows.select(F.col(key).cast("bigint") if types[1] == pa.int64() else F.col(key), doubles(embedding).alias("v")).where(F.size("v") == dim)
-        return vectors.mapInArrow(run, f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {'bigint' if types[1] == pa.int64() else 'string'}, distance double")
-
-    for row in ids:
-        block.append((row[0], row[1]))
-        if len(block) == QUERY_BLOCK:
-            found = flush(block) if found is None else found.unionByName(flush(block))
-            block = []
-    if block:
-        found = flush(block) if found is None else found.unionByName(flush(block))
-    if found is None:
-        return queries.select(query_key).limit(0).crossJoin(rows.select(key).limit(0)).withColumn("distance", F.lit(0.0)).withColumn("rank", F.lit(1))
+    """query_key, key, distance, rank for a stated set of queries against all rows of the same length. Both sides are
+    packed into blocks; every block of queries meets every block of rows once, spread by the latter over all tasks,
+    where a matrix of distances leaves k rows per query. Nothing passes through the driver, and rows are read once."""
+    spark = rows.sparkSession
+    asked = settle(_blocks(queries, query_key, embedding, QUERY_BLOCK).select("dim", F.col("block").alias("q_block"), F.col("keys").alias("q_keys"), F.col("x").alias("q")))
+    salts = wide(spark)
+    spread = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    own = _blocks(rows, key, embedding, ROW_BLOCK).withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
+    met = own.join(spread, ["dim", "salt"]).select("dim", "q_keys", "q", "keys", "x")
+    kinds = [queries.schema[query_key].dataType.simpleString(), rows.schema[key].dataType.simpleString()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                dim, q_keys, q, keys, x = (batch.column(i)[r] for i in range(5))
+                q, x = (np.frombuffer(m.as_py(), np.float64).reshape(-1, dim.as_py()) for m in (q, x))
+                d = np.round(_distances(q, x, metric), DIGITS) + 0.0
+                # all ties of the k-th, so that the smaller key can win
+                most = np.partition(d, k - 1, axis=1)[:, k - 1] if len(x) > k else d.max(axis=1)
+                i, j = np.nonzero(d <= most[:, None])
+                place = np.empty(len(x), np.int64)
+                place[np.argsort(np.array(keys.as_py(), dtype=object), kind="stable")] = np.arange(len(x))
+                order = np.lexsort((place[j], d[i, j], i))
+                i, j = i[order], j[order]
+                first = np.searchsorted(i, np.arange(len(q)))
+                keep = np.arange(len(i)) - first[i] < k
+                i, j = i[keep], j[keep]
+                yield pa.RecordBatch.from_arrays([q_keys.values.take(pa.array(i)), keys.values.take(pa.array(j)), pa.array(d[i, j])], names=[query_key, key, "distance"])
+
+    found = met.mapInArrow(run, f"{query_key} {kinds[0]}, {key} {kinds[1]}, distance double")
     w = Window.partitionBy(query_key).orderBy("distance", key)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

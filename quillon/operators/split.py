@@ -5,6 +5,8 @@ A chunk's id is the hash of its text, so equal chunks share it. Null and blank t
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,26 +16,29 @@ from pyspark.sql import functions as F
 from quillon.functions.columns import content_id, cosine, let, strip
 
 
+def _spans(length: int, size: int, overlap: int, ends: list[int], width: int) -> Iterator[tuple[int, int]]:
+    """(begin, stop) of the windows of a text longer than `size`. ends: where its separators of `width` characters end."""
+    begin = 0
+    while begin < length:
+        stop = begin + size
+        inside = bisect_right(ends, stop) if stop < length else 0
+        if inside and ends[inside - 1] - max(overlap, width) > begin:
+            stop = ends[inside - 1]
+        yield begin, stop
+        begin = stop - overlap
+
+
 def character_windows(text: str, size: int, overlap: int, separator: str = "\n", drop_tail: bool = False) -> list[str]:
-    """Windows of `size` characters, cut after the last separator inside if that moves the next window forward, else
-    at full length; the next window begins `overlap` before the cut. A last window inside the one before it is kept
-    unless `drop_tail`."""
+    """Windows of `size` characters, cut after the last whole separator inside if that moves the next window forward,
+    else at full length; the next window begins `overlap` before the cut. A last window inside the one before it is
+    kept unless `drop_tail`. Pieces are stripped, blank ones left out; a text that fits stays as it is."""
     if len(text) <= size:
         return [text] if text else []
-    out, begin = [], 0
-    while begin < len(text):
-        stop = begin + size
-        if stop < len(text) and separator:
-            at = text.rfind(separator, begin, stop)
-            if at > begin and at + 1 - overlap > begin:
-                stop = at + 1
-        piece = text[begin:stop].strip()
-        if piece:
-            out.append(piece)
-        if drop_tail and stop >= len(text):
-            break
-        begin = stop - overlap
-    return out
+    ends = [m.start() + len(separator) for m in re.finditer(f"(?={re.escape(separator)})", text)] if separator else []
+    spans = list(_spans(len(text), size, overlap, ends, len(separator)))
+    if drop_tail:
+        spans = spans[: 1 + next(i for i, (_, stop) in enumerate(spans) if stop >= len(text))]
+    return [piece for begin, stop in spans if (piece := text[begin:stop].strip())]
 
 
 def _rows(documents: DataFrame, pieces: Column, method: str) -> DataFrame:

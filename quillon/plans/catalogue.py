@@ -18,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 TEXT = "the query planner merges hidden footnotes"
+_SHOWN = F.round("distance", 6).alias("distance")
 
 
 def query(name: str, sql: str | None = None):
@@ -42,7 +43,7 @@ def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, list[float]]:
 def _vector_query(metric: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         rows, q = _vectors(spark, sf)
-        return search.ranked(search.top_k(rows, q, 10, None, metric, key="vec_id"), "vec_id").select("rank", "vec_id", "label", "distance")
+        return search.ranked(search.top_k(rows, q, 10, None, metric, key="vec_id"), "vec_id").select("rank", "vec_id", "label", _SHOWN)
 
     return run
 
@@ -56,64 +57,64 @@ _DIST = {
 for _m, _d in _DIST.items():
     query(
         f"vec_topk_{_m}",
-        f"""with {_Q}, d as (select vec_id, label, round({_d}, 6) + 0.0 as distance from embeddings e, q)
-        select row_number() over (order by distance, vec_id) as rank, vec_id, label, distance from d order by distance, vec_id limit 10""",
+        f"""with {_Q}, d as (select vec_id, label, round({_d}, 12) + 0.0 as distance from embeddings e, q)
+        select row_number() over (order by distance, vec_id) as rank, vec_id, label, round(distance, 6) as distance from d order by distance, vec_id limit 10""",
     )(_vector_query(_m))
 
 
 @query(
     "vec_topk_filtered",
-    f"""with {_Q}, d as (select vec_id, round({_DIST["l2sq"]}, 6) + 0.0 as distance from embeddings e, q where label = 3)
-    select row_number() over (order by distance, vec_id) as rank, vec_id, distance from d order by distance, vec_id limit 10""",
+    f"""with {_Q}, d as (select vec_id, round({_DIST["l2sq"]}, 12) + 0.0 as distance from embeddings e, q where label = 3)
+    select row_number() over (order by distance, vec_id) as rank, vec_id, round(distance, 6) as distance from d order by distance, vec_id limit 10""",
 )
 def vec_topk_filtered(spark, sf):
     rows, q = _vectors(spark, sf)
-    return search.ranked(search.top_k(rows, q, 10, F.col("label") == 3, key="vec_id"), "vec_id").select("rank", "vec_id", "distance")
+    return search.ranked(search.top_k(rows, q, 10, F.col("label") == 3, key="vec_id"), "vec_id").select("rank", "vec_id", _SHOWN)
 
 
 @query(
     "vec_postfilter",
-    f"""with {_Q}, d as (select vec_id, label, round({_DIST["l2sq"]}, 6) + 0.0 as distance from embeddings e, q order by distance, vec_id limit 40)
-    select vec_id, distance from d where label = 3 order by distance, vec_id limit 10""",
+    f"""with {_Q}, d as (select vec_id, label, round({_DIST["l2sq"]}, 12) + 0.0 as distance from embeddings e, q order by distance, vec_id limit 40)
+    select vec_id, round(distance, 6) as distance from (select * from d where label = 3 order by distance, vec_id limit 10)""",
 )
 def vec_postfilter(spark, sf):
     rows, q = _vectors(spark, sf)
-    return search.post_filtered(rows, q, 10, F.col("label") == 3, key="vec_id").select("vec_id", "distance")
+    return search.post_filtered(rows, q, 10, F.col("label") == 3, key="vec_id").select("vec_id", _SHOWN)
 
 
 @query(
     "vec_knn_join",
-    """with d as (select a.vec_id as query_id, b.vec_id, round(1 - list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) + 0.0 as distance
+    """with d as (select a.vec_id as query_id, b.vec_id, round(1 - list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 12) + 0.0 as distance
       from embeddings a, embeddings b where a.vec_id % 100 = 0)
-    select * from (select query_id, vec_id, distance, row_number() over (partition by query_id order by distance, vec_id) as rank from d) where rank <= 5""",
+    select query_id, vec_id, round(distance, 6) as distance, rank from (select query_id, vec_id, distance, row_number() over (partition by query_id order by distance, vec_id) as rank from d) where rank <= 5""",
 )
 def vec_knn_join(spark, sf):
     """Queries: rows whose id is divisible by 100, against all rows."""
     rows = read_table(spark, sf, "embeddings")
     asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return search.knn_join(asked, rows, 5, "cosine", key="vec_id").select("query_id", "vec_id", "distance", "rank")
+    return search.knn_join(asked, rows, 5, "cosine", key="vec_id").select("query_id", "vec_id", _SHOWN, "rank")
 
 
 @query(
     "vec_topk_per_label",
-    f"""with {_Q}, d as (select vec_id, label, round({_DIST["l2sq"]}, 6) + 0.0 as distance from embeddings e, q)
-    select * from (select label, vec_id, distance, row_number() over (partition by label order by distance, vec_id) as rank from d) where rank <= 3""",
+    f"""with {_Q}, d as (select vec_id, label, round({_DIST["l2sq"]}, 12) + 0.0 as distance from embeddings e, q)
+    select label, vec_id, round(distance, 6) as distance, rank from (select label, vec_id, distance, row_number() over (partition by label order by distance, vec_id) as rank from d) where rank <= 3""",
 )
 def vec_topk_per_label(spark, sf):
     rows, q = _vectors(spark, sf)
-    return search.top_k_per_group(rows, q, "label", 3, key="vec_id").select("label", "vec_id", "distance", "rank")
+    return search.top_k_per_group(rows, q, "label", 3, key="vec_id").select("label", "vec_id", _SHOWN, "rank")
 
 
 @query(
     "router_merge",
-    f"""with {_Q}, d as (select vec_id, label, round({_DIST["l2sq"]}, 6) + 0.0 as distance from embeddings e, q where label in (1, 2, 3)),
+    f"""with {_Q}, d as (select vec_id, label, round({_DIST["l2sq"]}, 12) + 0.0 as distance from embeddings e, q where label in (1, 2, 3)),
     r as (select *, row_number() over (partition by label order by distance, vec_id) as n from d)
-    select 'label' || label as _collection, vec_id, distance from r where n <= 5 order by distance, _collection, vec_id limit 5""",
+    select _collection, vec_id, round(distance, 6) as distance from (select 'label' || label as _collection, vec_id, distance from r where n <= 5 order by distance, _collection, vec_id limit 5)""",
 )
 def router_merge(spark, sf):
     rows, q = _vectors(spark, sf)
-    each = {f"label{i}": search.top_k(rows, q, 5, F.col("label") == i, key="vec_id").select("vec_id", "distance") for i in (1, 2, 3)}
-    return search.merged(each, 5, [*each, "unknown"], "vec_id").select("_collection", "vec_id", "distance")
+    each = {f"label{i}": search.top_k(rows, q, 5, F.col("label") == i, key="vec_id").select("vec_id", _SHOWN) for i in (1, 2, 3)}
+    return search.merged(each, 5, [*each, "unknown"], "vec_id").select("_collection", "vec_id", _SHOWN)
 
 
 @query(
@@ -252,7 +253,7 @@ asked as (select unnest(string_split('{TEXT}', ' ')) as term),
 hits as (
   select p.doc_id, sum((case when i.raw < 0 then 0.25 * v.mean_idf else i.raw end) * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * len(k.t) / i.avg_length))) as s
   from asked a join post p using (term) join idf i using (term) join tok k using (doc_id), vocab v group by 1),
-scored as (select k.doc_id, round(coalesce(s, 0), 6) as score from tok k left join hits using (doc_id))"""
+scored as (select k.doc_id, round(coalesce(s, 0), 12) as score from tok k left join hits using (doc_id))"""
 
 
 @query("bm25_stats", f"with {_TOKENS.replace('{filter}', '')} select documents, round(avg_length, 6) as avg_length, terms, round(mean_idf, 6) as mean_idf from stats, vocab")
@@ -263,15 +264,15 @@ def bm25_stats(spark, sf):
 def _bm25(spark, sf, where=None):
     rows = _documents(spark, sf)
     scored = keyword.bm25(rows if where is None else rows.where(where), TEXT, "doc_id")
-    return scored.orderBy(F.desc("score"), "doc_id").limit(20)
+    return scored.orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("bm25_topk", f"with {_SCORES.replace('{filter}', '')} select doc_id, score from scored order by score desc, doc_id limit 20")
+@query("bm25_topk", f"with {_SCORES.replace('{filter}', '')} select doc_id, round(score, 6) as score from (select * from scored order by score desc, doc_id limit 20)")
 def bm25_topk(spark, sf):
     return _bm25(spark, sf)
 
 
-@query("bm25_filtered", f"with {_SCORES.replace('{filter}', ENGLISH)} select doc_id, score from scored order by score desc, doc_id limit 20")
+@query("bm25_filtered", f"with {_SCORES.replace('{filter}', ENGLISH)} select doc_id, round(score, 6) as score from (select * from scored order by score desc, doc_id limit 20)")
 def bm25_filtered(spark, sf):
     return _bm25(spark, sf, F.col("lang") == "en")
 
@@ -298,7 +299,7 @@ def _hybrid(alpha: float) -> Query:
 
 _NEAR = """qv as (select embedding::double[] as v from documents where text is not null and len(embedding) = 64 order by doc_id limit 1),
 near as (select doc_id, row_number() over (order by d, doc_id) - 1 as rank from (
-  select doc_id, round(list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::double - v[i]) ** 2)), 6) as d
+  select doc_id, round(list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::double - v[i]) ** 2)), 12) as d
   from documents, qv where text is not null and len(embedding) = 64) order by d, doc_id limit {fetch})"""
 for _name, _alpha, _fetch in (("hybrid_rrf", 0.5, 20), ("hybrid_rrf_vector", 1.0, 40), ("hybrid_rrf_keyword", 0.0, 0)):
     query(
@@ -326,34 +327,36 @@ def rerank_lexical(spark, sf):
 @query(
     "parent_best_chunk",
     """with qv as (select embedding::double[] as v from documents where text is not null and len(embedding) = 64 order by doc_id limit 1),
-    d as (select doc_id, text, source, round(list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::double - v[i]) ** 2)), 6) as distance
+    d as (select doc_id, text, source, round(list_sum(list_transform(range(1, 65), lambda i: (embedding[i]::double - v[i]) ** 2)), 12) as distance
       from documents, qv where text is not null and len(embedding) = 64),
     top as (select * from d order by distance, doc_id limit 30),
     best as (select * from (select *, row_number() over (partition by source order by distance, doc_id::varchar) as n from top) where n = 1),
     parent as (select collection, max(persist_dir) as persist_dir from index_config group by 1)
-    select case when collection is null then doc_id::varchar else collection end as id, distance, case when collection is null then sha256(text) else sha256(persist_dir) end as content
+    select case when collection is null then doc_id::varchar else collection end as id, round(distance, 6) as distance, case when collection is null then sha256(text) else sha256(persist_dir) end as content
     from best left join parent on collection = source order by distance, id limit 10""",
 )
 def parent_best_chunk(spark, sf):
     top = search.top_k(_documents(spark, sf), _query_vector(spark, sf), 30, key="doc_id").withColumn("source_id", F.col("source"))
     parents = read_table(spark, sf, "index_config").groupBy(F.col("collection").alias("id")).agg(F.max("persist_dir").alias("text")).withColumn("metadata", F.create_map().cast("map<string,string>"))
-    return search.best_parent(top, parents, 10).select("id", "distance", content_id("text").alias("content"))
+    return search.best_parent(top, parents, 10).select("id", _SHOWN, content_id("text").alias("content"))
 
 
 # --- graph --------------------------------------------------------------------------------------------------------------
 
-_ASCII = "regexp_full_match(text, '[\\x00-\\x7F]*')"
 _STOPS = ", ".join(f"'{w}'" for w in graph.STOP)
+# RE2 knows no Unicode word edges: runs of word characters are marked with chr(1) and chr(2) first
+_WORDS = r"[\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}\x{200c}\x{200d}]+"
+_SPACE = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_MARKED = f"regexp_replace(text, '({_WORDS})', chr(1) || '\\1' || chr(2), 'g')"
 _MENTIONS = f"""men as (
   select doc_id, i, e as name, lower(e) as key from (
-    select doc_id, unnest(es) as e, generate_subscripts(es, 1) as i from (
-      select doc_id, regexp_extract_all(text, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1) as es from documents where text is not null and {_ASCII}))
+    select doc_id, translate(unnest(es), chr(1) || chr(2), '') as e, generate_subscripts(es, 1) as i from (
+      select doc_id, regexp_extract_all({_MARKED}, '\\x01[A-Z][a-z]+\\x02(?:{_SPACE}+\\x01[A-Z][a-z]+\\x02)*') as es from documents where text is not null))
   where length(e) >= 2 and e not in ({_STOPS}))"""
 
 
 def _mentions(spark, sf):
-    """Texts of ASCII only, as in the SQL, since all engines agree there on what a word's edge is; the _all queries read every text."""
-    return graph.entity_mentions(_documents(spark, sf).where("text rlike '^[\\\\x00-\\\\x7F]*$' and not text rlike '[^\\\\x00-\\\\x7F]'"))
+    return graph.entity_mentions(_documents(spark, sf))
 
 
 @query("entities_extracted", f"with {_MENTIONS} select doc_id, count(*) as mentions, count(distinct key) as keys from men group by 1")
@@ -377,26 +380,6 @@ def entity_edges(spark, sf):
     return graph.graph_edges(_mentions(spark, sf), doc_ids=False)
 
 
-def _all_mentions(spark, sf):
-    """Every text that isn't null. The engines differ here on what a word's edge is, so these queries have no SQL."""
-    return graph.entity_mentions(_documents(spark, sf))
-
-
-@query("entities_extracted_all")
-def entities_extracted_all(spark, sf):
-    return _all_mentions(spark, sf).groupBy(F.col("id").cast("long").alias("doc_id")).agg(F.count("*").alias("mentions"), F.countDistinct("key").alias("keys"))
-
-
-@query("entity_nodes_all")
-def entity_nodes_all(spark, sf):
-    return graph.graph_nodes(_all_mentions(spark, sf)).select("key", "name", "documents")
-
-
-@query("entity_edges_all")
-def entity_edges_all(spark, sf):
-    return graph.graph_edges(_all_mentions(spark, sf), doc_ids=False)
-
-
 @query(
     "graph_nodes_listed",
     """select lower(name) as key, max(upper(entity_type)) as type, count(distinct d) as documents from (
@@ -464,7 +447,7 @@ def graph_rrf(spark, sf):
     related = graph.related_documents(_listed_mentions(spark, sf), edges, _start(edges), 2)
     ranking = keyword.ranks(related, [F.col("hop"), F.col("id")])
     rows = read_table(spark, sf, "documents").where("text is not null")
-    scored = rows.withColumn("distance", F.round(search.distance(F.col("embedding"), vector(_query_vector(spark, sf)), "l2sq"), 6)).where("distance is not null")
+    scored = rows.withColumn("distance", F.round(search.distance(F.col("embedding"), vector(_query_vector(spark, sf)), "l2sq"), search.DIGITS)).where("distance is not null")
     near = keyword.ranks(scored.groupBy("id").agg(F.min("distance").alias("distance")), [F.col("distance"), F.col("id")], 20)
     known = rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min_by("text", "doc_id").alias("text")).withColumn("metadata", F.create_map(F.lit("doc_id"), F.col("doc_id").cast("string")))
     best = graph.graph_fusion(ranking, near, known, 10)

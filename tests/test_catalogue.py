@@ -52,15 +52,15 @@ def test_entities_of_all_texts(spark, tmp_path):
     write_documents(spark, tmp_path, texts)
     found = {i: [e for e in re.findall(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b", t) if len(e) >= 2 and e not in STOP] for i, t in enumerate(texts) if t}
     keys = {i: sorted({e.lower() for e in es}) for i, es in found.items() if es}
-    assert {(r.doc_id, r.mentions, r["keys"]) for r in QUERIES["entities_extracted_all"](spark, str(tmp_path)).collect()} == {(i, len(found[i]), len(ks)) for i, ks in keys.items()}
+    assert {(r.doc_id, r.mentions, r["keys"]) for r in QUERIES["entities_extracted"](spark, str(tmp_path)).collect()} == {(i, len(found[i]), len(ks)) for i, ks in keys.items()}
     first = {}
     for i in sorted(found):
         for e in found[i]:
             first.setdefault(e.lower(), e)
     count = Counter(k for ks in keys.values() for k in ks)
-    assert {(r.key, r["name"], r.documents) for r in QUERIES["entity_nodes_all"](spark, str(tmp_path)).collect()} == {(k, first[k], n) for k, n in count.items()}
+    assert {(r.key, r["name"], r.documents) for r in QUERIES["entity_nodes"](spark, str(tmp_path)).collect()} == {(k, first[k], n) for k, n in count.items()}
     pairs = Counter(p for ks in keys.values() for p in combinations(ks, 2))
-    assert {(r.src, r.dst, r.weight) for r in QUERIES["entity_edges_all"](spark, str(tmp_path)).collect()} == {(*p, n) for p, n in pairs.items()}
+    assert {(r.src, r.dst, r.weight) for r in QUERIES["entity_edges"](spark, str(tmp_path)).collect()} == {(*p, n) for p, n in pairs.items()}
 
 
 def test_html_text_of_all_texts(spark, tmp_path):
