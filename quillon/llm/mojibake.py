@@ -251,7 +251,8 @@ def garbled_tokens(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     tokens = settle(texts.groupBy("token").agg(F.count("*").alias("docs")).withColumn("code", F.monotonically_increasing_id()).select("code", "token", "docs"))
     parts = settle(tokens.mapInArrow(_batched(_split_token, _string("code", "docs", "part", "kind")), "code long, docs long, part string, kind string"))
     units = parts.where("kind <> 'piece'").groupBy("part").agg(F.sum("docs").alias("docs"))
-    units = units.repartition(wide(spark), "part")  # few bytes, but much work
+    # few bytes, but much work; by another key than the aggregation's, whose partitions AQE would coalesce
+    units = units.repartition(wide(spark), F.xxhash64("part"))
     table = settle(units.mapInArrow(_batched(_forms_row, _string("original", "docs", "sound", "piece", "chain")), "original string, docs long, sound long, piece string, chain string"))
     # one original for each garbled form: of the words that can be read (beside lost characters of all), the one that most texts use
     rank = F.when(F.col("piece").contains("�"), F.least("sound", F.lit(1))).otherwise(F.col("sound")).alias("rank")
