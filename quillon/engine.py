@@ -5,7 +5,7 @@ from __future__ import annotations
 import asyncio
 import logging
 from collections.abc import Callable, Iterator
-from typing import Any
+from typing import Any, Protocol, runtime_checkable
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +15,9 @@ from quillon.operators import graph as kg
 from quillon.operators import prompt as prompts
 from quillon.operators.collection import Collection
 from quillon.operators.embed import EmbeddingBackend, EmbeddingCache, HashingBackend, embedded
-from quillon.operators.keyword import bm25, fuse, ranks, vector_fetch
-from quillon.operators.search import best_parent, merged, ranked, reranked, top_k
+from quillon.operators import evaluate as quality
+from quillon.operators.keyword import KeywordIndex, bm25, fuse, ranks, vector_fetch
+from quillon.operators.search import best_parent, merged, ranked, reranked, scorer, top_k
 from quillon.timing import timed
 
 log = logging.getLogger(__name__)
@@ -27,12 +28,33 @@ def document(text: str, metadata: dict[str, Any] | None = None, id: str | None =
     return {"text": text, "metadata": {k: str(v) for k, v in (metadata or {}).items()}, "id": id}
 
 
+@runtime_checkable
+class Store(Protocol):
+    """What an Index keeps its rows in; Collection is one."""
+
+    name: str
+    metric: str
+
+    def rows(self) -> DataFrame: ...
+
+    def upsert(self, rows: DataFrame, arrival: str | None = None) -> None: ...
+
+    def search(self, query: list[float], k: int = 5, where: dict[str, Any] | None = None) -> DataFrame: ...
+
+    def delete(self, ids: list[str] | DataFrame) -> None: ...
+
+    def count(self) -> int: ...
+
+    def clear(self) -> None: ...
+
+
 class Index:
-    def __init__(self, spark: SparkSession, folder: str = "./quillon_db", collection: str = "documents", backend: EmbeddingBackend | None = None, metric: str = "l2sq", cache: int = 1024, batch_size: int = 64):
+    def __init__(self, spark: SparkSession, folder: str = "./quillon_db", collection: str = "documents", backend: EmbeddingBackend | None = None, metric: str = "l2sq", cache: int = 1024, batch_size: int = 64, store: Store | None = None, rerank_model: str = "lexical"):
         if batch_size < 1:
             raise ValueError("batch_size must be at least 1")
         self.spark, self.folder = spark, folder
-        self.collection = Collection(spark, folder, collection, metric)
+        self.collection = store or Collection(spark, folder, collection, metric)
+        self.scorer = scorer(rerank_model)
         self.backend = backend or HashingBackend()
         self.cache, self.batch_size = EmbeddingCache(cache), batch_size
 
@@ -48,7 +70,9 @@ class Index:
             rows = [(d.get("id"), d["text"], {k: str(v) for k, v in (d.get("metadata") or {}).items()}) for d in documents]
             documents = self.spark.createDataFrame(rows, "id string, text string, metadata map<string,string>")
             documents = documents.withColumn("id", F.coalesce("id", content_id("text")))
-        self.collection.upsert(self.embed(documents))
+        # numbered before embedding, which may change the order of the rows
+        numbered = documents.withColumn("_arrival_number", F.monotonically_increasing_id())
+        self.collection.upsert(self.embed(numbered), "_arrival_number")
 
     def _vector(self, query: str, k: int) -> list[float]:
         if not query or not query.strip():
@@ -68,7 +92,7 @@ class Index:
     def query(self, query: str, top_k: int = 5, where: dict | None = None, rerank: bool = False, score: Callable | None = None) -> DataFrame:
         top = self.collection.search(self._vector(query, top_k), 4 * top_k if rerank else top_k, where)
         if rerank:
-            return self.shown(reranked(top, query, top_k, score), True)
+            return self.shown(reranked(top, query, top_k, score or self.scorer), True)
         return self.shown(top)
 
     def _filtered(self, where: dict | None) -> DataFrame:
@@ -76,11 +100,35 @@ class Index:
         own = {"source_id": F.col("source_id"), "chunk_index": F.col("chunk_index")}
         return rows.where(condition(where, F.col("metadata"), own)) if where else rows
 
+    def _lexical(self, rows: DataFrame, query: str, where: dict | None) -> DataFrame:
+        """id, score of every row. Without a filter from the snapshot's keyword index, which the first query builds; with
+        one the statistics are those of the rows that pass, so they are counted anew."""
+        name = None if where else getattr(self.collection, "snapshot", lambda: None)()
+        if name is None:
+            return bm25(rows, query)
+        index = KeywordIndex(self.spark, f"{self.collection.path}.keywords/{name}")
+        if not index.exists():
+            index.build(rows)
+        found = index.scores(query).withColumnRenamed("key", "id")
+        return rows.select("id").join(found, "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+    def evaluate(self, queries: list[str], expected: list[list[str]], top_k: int = 10, standard_ndcg: bool = False) -> dict[str, float]:
+        """queries, mrr, ndcg, recall of the results of each query against the ids expected for it."""
+        if len(queries) != len(expected):
+            raise ValueError("queries and expected must have the same length")
+        wanted = self.spark.createDataFrame([(i, e) for i, ids in enumerate(expected) for e in ids], "query_id int, id string")
+        found = self.spark.createDataFrame([], "query_id int, id string, rank int")
+        for i, query in enumerate(queries):
+            found = found.unionByName(self.query(query, top_k).select(F.lit(i).alias("query_id"), "id", "rank"))
+        asked = self.spark.createDataFrame([(i,) for i in range(len(queries))], "query_id int")
+        per = quality.evaluate(found, wanted, standard_ndcg)
+        return quality.summary(asked.join(per, "query_id", "left").fillna(0.0)).first().asDict()
+
     @timed("hybrid")
     def hybrid_query(self, query: str, top_k: int = 5, where: dict | None = None, alpha: float = 0.5) -> DataFrame:
         v = self._vector(query, top_k)
         rows = self._filtered(where)
-        words = ranks(bm25(rows, query), [F.desc("score"), F.col("id")])
+        words = ranks(self._lexical(rows, query, where), [F.desc("score"), F.col("id")])
         count = rows.count()
         fetch = vector_fetch(count, top_k, alpha)
         near = self.spark.createDataFrame([], "id string, rank long")
@@ -90,11 +138,11 @@ class Index:
         return self.shown(best.join(rows.select("id", "text", "metadata"), "id"))
 
     @timed("graph")
-    def graph_query(self, query: str, mentions: DataFrame, edges: DataFrame, top_k: int = 5, where: dict | None = None, max_hops: int = 2, alpha: float = 0.5) -> DataFrame:
+    def graph_query(self, query: str, mentions: DataFrame, edges: DataFrame, top_k: int = 5, where: dict | None = None, max_hops: int = 2, alpha: float = 0.5, rrf_k: int = 60) -> DataFrame:
         v = self._vector(query, top_k)
         rows = self._filtered(where)
         near = ranks(_nearest(rows, v, 2 * top_k, self.collection.metric), [F.col("distance"), F.col("id")], 2 * top_k)
-        return self.shown(kg.graph_fusion(kg.graph_ranking(mentions, edges, query, max_hops), near, rows, top_k, alpha))
+        return self.shown(kg.graph_fusion(kg.graph_ranking(mentions, edges, query, max_hops), near, rows, top_k, alpha, rrf_k=rrf_k))
 
     @timed("parent")
     def query_parent(self, query: str, top_k: int = 5, where: dict | None = None, rerank: bool = False) -> DataFrame:
@@ -102,7 +150,7 @@ class Index:
         v = self._vector(query, top_k)
         found = self.collection.search(v, 12 * top_k if rerank else 3 * top_k, where)
         if rerank:
-            found = reranked(found, query, 3 * top_k)
+            found = reranked(found, query, 3 * top_k, self.scorer)
         return self.shown(best_parent(found, self.collection.rows(), top_k))
 
     def query_for_prompt(self, query: str, top_k: int = 5, where: dict | None = None, template: str | None = None) -> str:
@@ -161,14 +209,17 @@ class Pipeline:
     def run(self, *args, **kwargs) -> dict[str, int]:
         self.stats = dict.fromkeys(self.stats, 0)
         rows, stage = None, ""
+        held: list[DataFrame] = []
         try:
             for stage in ("loaded", "chunked", "indexed"):
                 if stage == "loaded":
                     rows = self.loader(*args, **kwargs).persist()
+                    held.append(rows)
                     self.stats[stage] = rows.count()  # a lazy failure belongs to the stage that caused it
                 elif stage == "chunked":
                     if self.splitter is not None:
                         rows = self.splitter(rows).persist()
+                        held.append(rows)
                     self.stats[stage] = rows.count()
                 else:
                     self.index.add(rows)
@@ -181,6 +232,9 @@ class Pipeline:
                 self.on_error(e, stage)
             else:
                 log.warning("%s failed: %s", stage, e)
+        finally:
+            for df in held:
+                df.unpersist()
         return dict(self.stats)
 
     def query(self, query: str, top_k: int = 5, **more) -> DataFrame:

@@ -117,16 +117,55 @@ def graph_ranking(mentions: DataFrame, edges: DataFrame, query: str, max_hops: i
     return ranks(best.select("id", "b.seed", "b.hop"), [F.col("seed"), F.col("hop"), F.col("id")]).select("id", "rank")
 
 
-def graph_fusion(graph: DataFrame, vectors: DataFrame, documents: DataFrame, k: int, alpha: float = 0.5, where: Column | None = None, strict: bool = False) -> DataFrame:
+def graph_fusion(graph: DataFrame, vectors: DataFrame, documents: DataFrame, k: int, alpha: float = 0.5, where: Column | None = None, strict: bool = False, rrf_k: int = 60) -> DataFrame:
     """Fuses a graph ranking with a vector ranking (id, rank from 0 each), without the rank offset of hybrid search.
     Documents that are missing or filtered out are dropped before the limit; with `strict`, after it."""
-    scored = fuse(graph, vectors, alpha, offset=0)
+    scored = fuse(graph, vectors, alpha, k=rrf_k, offset=0)
     known = documents if where is None else documents.where(where)
     if strict:
         scored = scored.orderBy("distance", "id").limit(k)
     return scored.join(known.select("id", "text", "metadata"), "id").orderBy("distance", "id").limit(k)
 
 
+class KnowledgeGraph:
+    """Entities and co-occurrence edges of documents (id, text), grown by adding documents; a document added again is
+    replaced. Mentions are kept as a settled table; nodes and edges follow from them."""
+
+    def __init__(self, spark: SparkSession, extract=entity_names, min_length: int = 2):
+        self.spark, self.extract, self.min_length = spark, extract, min_length
+        self.mentions = self._none()
+
+    def _none(self) -> DataFrame:
+        return self.spark.createDataFrame([], "id string, pos int, name string, key string")
+
+    def add(self, documents: DataFrame) -> None:
+        new = settle(entity_mentions(documents, self.min_length, self.extract).select(F.col("id").cast("string").alias("id"), "pos", "name", "key"))
+        kept = self.mentions.join(documents.select(F.col("id").cast("string").alias("id")), "id", "left_anti")
+        self.mentions = settle(kept.unionByName(new))
+
+    def nodes(self) -> DataFrame:
+        return graph_nodes(self.mentions)
+
+    def edges(self) -> DataFrame:
+        return graph_edges(self.mentions)
+
+    def counts(self) -> dict[str, int]:
+        return {"entities": self.mentions.select("key").distinct().count(), "edges": graph_edges(self.mentions, doc_ids=False).count()}
+
+    def entity(self, name: str) -> DataFrame:
+        """The node of that name in any case, or no row."""
+        return graph_nodes(self.mentions.where(F.col("key") == name.lower()))
+
+    def neighbours(self, name: str, max_hops: int = 1) -> DataFrame:
+        return neighbours(graph_edges(self.mentions, doc_ids=False), name, max_hops)
+
+    def related(self, name: str, max_hops: int = 2) -> DataFrame:
+        return related_documents(self.mentions, graph_edges(self.mentions, doc_ids=False), name, max_hops)
+
+    def clear(self) -> None:
+        self.mentions = self._none()
+
+
 def save_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """One JSON object of entities and edges (keyed by both ends joined with two bars), streamed row by row."""
     import os

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.columns import let, words
@@ -58,6 +60,46 @@ def bm25(rows: DataFrame, query: str, key: str = "id", text: str = "text") -> Da
     return counted.join(F.broadcast(one), how="left").select(key, F.round(score, 12).alias("score"))
 
 
+class KeywordIndex:
+    """Postings, lengths and statistics of one set of rows, kept as Parquet, so that a query reads the postings of its
+    own terms only. Postings lie in folders by a hash of the term, sorted by term within."""
+
+    BUCKETS = 64
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def exists(self) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/statistics/_SUCCESS")
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
+    def _bucket(self, term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(self.BUCKETS)).cast("int")
+
+    def build(self, rows: DataFrame, key: str = "id", text: str = "text") -> None:
+        """The statistics are written last and mark the index as complete. A term's postings are spread over several tasks."""
+        own = postings(rows, key, text).select("term", F.col(key).alias("key"), "tf", "length").withColumn("bucket", self._bucket(F.col("term")))
+        spread = own.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(16))).sortWithinPartitions("bucket", "term")
+        spread.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        statistics(rows, key, text).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/statistics")
+
+    def scores(self, query: str) -> DataFrame:
+        """key, score (that of bm25) of the rows with a hit; all others have 0."""
+        wanted = query.lower().split()
+        weights = [(t, float(wanted.count(t))) for t in sorted(set(wanted))]
+        terms = self.spark.createDataFrame(weights, "term string, weight double")
+        if not weights:
+            return terms.select(F.col("term").alias("key"), F.col("weight").alias("score"))
+        buckets = reduce(Column.__or__, [F.col("bucket") == self._bucket(F.lit(t)) for t, _ in weights])
+        hits = self.spark.read.parquet(f"{self.path}/postings").where(buckets & F.col("term").isin([t for t, _ in weights]))
+        one = self.spark.read.parquet(f"{self.path}/statistics")  # a single row
+        df = hits.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term").join(F.broadcast(one), how="left")
+        raw = F.log(F.col("documents") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+        df = df.select("term", (F.col("weight") * F.when(raw < 0, EPSILON * F.col("mean_idf")).otherwise(raw)).alias("idf"), "avg_length")
+        gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
+        return hits.join(F.broadcast(df), "term").groupBy("key").agg(F.round(F.sum(gain), 12).alias("score"))
+
+
 def ranks(scored: DataFrame, order: list[Column], most: int | None = None) -> DataFrame:
     """Adds rank 0.. in the given order. With `most`, only so many best rows are kept, by a bounded top-k; without,
     every row gets its rank from a range-partitioned sort, in two passes, so that no task sees all rows."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -138,6 +139,30 @@ def lexical_score(query: str, text: Column | str) -> Column:
     return F.size(F.array_intersect(F.array(*[F.lit(w) for w in wanted]), words(text))) / F.lit(float(len(wanted)))
 
 
+class CrossEncoder:
+    """Scores (query, text) pairs with a sentence-transformers cross-encoder, loaded once per worker when first used."""
+
+    def __init__(self, model: str = "cross-encoder/ms-marco-MiniLM-L-6-v2"):
+        self.model = model
+
+    def __call__(self, query: str, texts: list[str]) -> list[float]:
+        return [float(x) for x in _loaded(self.model).predict([(query, t) for t in texts])] if texts else []
+
+
+@lru_cache(maxsize=4)
+def _loaded(model: str):
+    try:
+        from sentence_transformers import CrossEncoder as Model
+    except ImportError as e:
+        raise ImportError("reranking by a cross-encoder needs the package sentence-transformers") from e
+    return Model(model)
+
+
+def scorer(name: str | None) -> Callable[[str, list[str]], list[float]] | None:
+    """The scoring function of a configured name: none for the lexical score, else a cross-encoder of that name."""
+    return None if name in (None, "", "lexical") else CrossEncoder(name)
+
+
 def reranked(top: DataFrame, query: str, k: int, score: Callable[[str, list[str]], list[float]] | None = None, key: str = "id") -> DataFrame:
     """By falling rerank_score (then distance, key). score: (query, texts) to numbers, run in Arrow batches on few rows."""
     if score is None:

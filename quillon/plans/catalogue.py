@@ -599,6 +599,157 @@ def collection_roundtrip(spark, sf):
     return c.rows().agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
 
 
+@query("jsonl_roundtrip", "select doc_id::varchar as id, sha256(text) as content, coalesce(metadata['title'], '') as title from documents where text is not null and text <> ''")
+def jsonl_roundtrip(spark, sf):
+    path = _scratch(spark, "lines")
+    loaders.export_jsonl(_documents(spark, sf), path)
+    return loaders.import_jsonl(spark, path).select("id", content_id("text").alias("content"), F.coalesce(F.col("metadata")["title"], F.lit("")).alias("title"))
+
+
+@query(
+    "where_operators",
+    """select doc_id from documents where text is not null and n_chars >= 100 and n_chars < 5000 and coalesce(source, '') not in ('helpdesk', 'runbooks') and doc_id > 10 and (lang = 'en' or doc_id <= 500)""",
+)
+def where_operators(spark, sf):
+    rows = read_table(spark, sf, "documents").where("text is not null")
+    where = {"$and": [{"n_chars": {"$gte": 100, "$lt": 5000}}, {"source": {"$nin": ["helpdesk", "runbooks"]}}, {"doc_id": {"$gt": 10}}, {"$or": [{"lang": {"$eq": "en"}}, {"doc_id": {"$lte": 500}}]}]}
+    return rows.where(condition(where, F.col("metadata"), {c: F.col(c) for c in ("n_chars", "source", "doc_id", "lang")})).select("doc_id")
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from quillon.session import shared_dir
+
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_NO_BLANKS = f"text is not null and length({_STRIP('text')}) > 0"
+
+
+def _filled(spark, sf) -> Collection:
+    """English documents put over all others, a batch each; of an id the largest doc_id arrives last."""
+    rows = read_table(spark, sf, "documents").where(F.length(strip("text")) > 0)
+    rows = rows.select("id", "text", F.create_map(F.lit("source"), F.coalesce("source", F.lit("none"))).alias("metadata"), "embedding", "lang", "doc_id")
+    c = Collection(spark, _scratch(spark, "collections"), "c")
+    c.upsert(rows.where("lang <> 'en' or lang is null"), "doc_id")
+    c.upsert(rows.where("lang = 'en'"), "doc_id")
+    return c
+
+
+_FILLED = f"""base as (select id, text, lang, doc_id, coalesce(source, 'none') as source from documents where {_NO_BLANKS}),
+filled as (select * from (select *, row_number() over (partition by id order by coalesce(lang = 'en', false) desc, doc_id desc) as n from base) where n = 1)"""
+
+
+@query("collection_upsert", f"with {_FILLED} select id, sha256(text) as content, source from filled")
+def collection_upsert(spark, sf):
+    return _filled(spark, sf).rows().select("id", content_id("text").alias("content"), F.col("metadata")["source"].alias("source"))
+
+
+@query("collection_delete", f"with {_FILLED} select id from filled where source not in ('helpdesk', 'runbooks') and id not in (select max(id) from filled)")
+def collection_delete(spark, sf):
+    c = _filled(spark, sf)
+    c.delete([c.rows().agg(F.max("id")).first()[0] or ""])
+    c.delete_sources(["helpdesk", "runbooks"])
+    return c.all().select("id")
+
+
+@query("collection_by_ids", f"with {_FILLED} select id, sha256(text) as content from filled where id in ((select max(id) from filled), (select min(id) from filled))")
+def collection_by_ids(spark, sf):
+    c = _filled(spark, sf)
+    low, high = c.rows().agg(F.min("id"), F.max("id")).first()
+    return c.by_ids([high, "unknown", low, high]).select("id", content_id("text").alias("content"))
+
+
+def _index(spark, sf):
+    from quillon.engine import Index
+
+    index = Index(spark, _scratch(spark, "index"), "documents")
+    index.add(_documents(spark, sf).where(F.length(strip("text")) > 0).select("id", "text", F.create_map(F.lit("source"), F.coalesce("source", F.lit("none"))).alias("metadata")))
+    return index
+
+
+_HASHED = f"""w as (select doc_id, unnest(list_filter(string_split_regex({_STRIP("lower(text)")}, '{_WS}+'), lambda x: x <> '')) as w from documents where {_NO_BLANKS}),
+c as (select doc_id, ('0x' || substr(md5(w), 1, 8))::bigint % 64 as bucket, count(*) as n from w group by 1, 2),
+v as (select doc_id, bucket, (n / sqrt(sum(n * n) over (partition by doc_id)))::float::double as x from c),
+qc as (select ('0x' || substr(md5(w), 1, 8))::bigint % 64 as bucket, count(*) as n from (select unnest(string_split('{TEXT}', ' ')) as w) group by 1),
+qx as (select bucket, n / sqrt(sum(n * n) over ()) as y from qc),
+dist as (select doc_id, round(sum(x * x) + 1 - 2 * sum(x * coalesce(y, 0)), 12) as d from v left join qx using (bucket) group by doc_id)"""
+
+
+@query(
+    "index_query",
+    f"with {_HASHED} select row_number() over (order by d, doc_id::varchar) as rank, doc_id::varchar as id, round(d, 4) as distance from dist order by d, doc_id::varchar limit 10",
+)
+def index_query(spark, sf):
+    return _index(spark, sf).query(TEXT, 10).select("rank", "id", F.round("distance", 4).alias("distance"))
+
+
+@query(
+    "index_keyword_query",
+    f"""with {_SCORES.replace("where text is not null {filter}", "where " + _NO_BLANKS)}
+    select row_number() over (order by score desc, doc_id::varchar) as rank, doc_id::varchar as id from scored order by score desc, doc_id::varchar limit 10""",
+)
+def index_keyword_query(spark, sf):
+    """Through the keyword index of the snapshot; alpha 0 leaves the keyword ranking alone."""
+    index = _index(spark, sf)
+    index.hybrid_query(TEXT, 10, alpha=0.0).collect()
+    return index.hybrid_query(TEXT, 10, alpha=0.0).select("rank", "id")
+
+
+@query("router_query")
+def router_query(spark, sf):
+    from quillon.engine import Router
+
+    index = _index(spark, sf)
+    return Router({"a": index, "b": index}).query(TEXT, 10, ["a", "b", "unknown"]).select("_collection", "id", F.round("distance", 4).alias("distance"))
+
+
+@query("index_graph_query")
+def index_graph_query(spark, sf):
+    index = _index(spark, sf)
+    kg = graph.KnowledgeGraph(spark)
+    kg.add(index.collection.all().select("id", "text"))
+    return index.graph_query("Harbour Query", kg.mentions, graph.graph_edges(kg.mentions, doc_ids=False), 10).select("rank", "id")
+
+
+def _nation_files(spark, sf) -> str:
+    """A text file per nation in a folder of its own."""
+    path = _scratch(spark, "nations")
+    read_table(spark, sf, "nation").select("n_nationkey", "n_name").write.partitionBy("n_nationkey").text(path)
+    return path
+
+
+@query("load_directory", "select sha256(n_name || chr(10)) as id, n_name as name, '.txt' as extension from nation")
+def load_directory(spark, sf):
+    rows = loaders.load_directory(spark, _nation_files(spark, sf), "**/*.txt")
+    return rows.select("id", strip("text").alias("name"), F.col("metadata")["extension"].alias("extension"))
+
+
+@query("sync_directory", "select 'first' as run, 'new' as state, count(*) as files from nation union all select 'second', 'unchanged', count(*) from nation union all select 'held', 'rows', count(*) from nation")
+def sync_directory(spark, sf):
+    """A folder twice: all is new, then all is unchanged, and each file is held once."""
+    path, c = _nation_files(spark, sf), Collection(spark, _scratch(spark, "collections"), "s")
+    embedded = lambda rows: embed.embedded(rows, embed.HashingBackend())
+    runs = [incremental.sync_directory(spark, path, c, embedded) for _ in range(2)]
+    rows = [(run, state, n) for run, counts in zip(("first", "second"), runs) for state, n in counts.items()]
+    return spark.createDataFrame([*rows, ("held", "rows", c.count())], "run string, state string, files long")
+
+
+@query("service_replies", "select t as call, count(*) as documents from nation, (values ('stats'), ('collection_info')) as calls(t) group by t")
+def service_replies(spark, sf):
+    import json
+
+    from quillon.engine import Index
+    from quillon.service import mcp
+    from quillon.service.http import Routes
+
+    index = Index(spark, _scratch(spark, "index"), "nations")
+    index.add(read_table(spark, sf, "nation").select(F.col("n_name").alias("id"), F.col("n_name").alias("text"), F.lit(None).cast("map<string,string>").alias("metadata")))
+    told = mcp.answer(index, json.dumps({"id": 1, "method": "tools/call", "params": {"name": "collection_info"}}))["result"]["content"][0]["text"]
+    return spark.createDataFrame([("stats", Routes(index).stats({})["documents"]), ("collection_info", json.loads(told)["documents"])], "call string, documents long")
+
+
 @query(
     "consecutive_similarity",
     f"""with s as (select doc_id, s, i from (select doc_id, unnest(s) as s, generate_subscripts(s, 1) as i from (

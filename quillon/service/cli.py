@@ -25,7 +25,7 @@ def open_index(args, settings: Settings, spark=None):
 
     model = args.model or settings.index.model
     backend = HashingBackend(int(model.rpartition("-")[2])) if model.startswith("hashing-") else ModelBackend(model)
-    return Index(spark or _session(), args.db or settings.index.persist_dir, args.collection or settings.index.collection, backend, batch_size=settings.index.batch_size)
+    return Index(spark or _session(), args.db or settings.index.persist_dir, args.collection or settings.index.collection, backend, batch_size=settings.index.batch_size, rerank_model=settings.search.rerank_model)
 
 
 def parser() -> argparse.ArgumentParser:

@@ -30,6 +30,24 @@ def _wanted(body: dict) -> str:
     return body["query"]
 
 
+#: Fields of the requests and replies by path: name and type, required ones marked with a star.
+_REQUESTS = {
+    "/query": "query* string, top_k integer, where object, rerank boolean, hybrid boolean, alpha number",
+    "/prompt": "query* string, top_k integer, where object, template string",
+    "/index": "documents* array",
+}
+_REPLIES = {
+    "/health": "status string", "/stats": "documents integer, collection string", "/collections": "collections array", "/metrics": "documents integer, timings object, cache object",
+    "/query": "query string, results array", "/prompt": "query string, prompt string", "/index": "indexed integer, total integer",
+}
+
+
+def _schema(fields: str) -> dict:
+    pairs = [f.split() for f in fields.split(", ") if f]
+    needed = [name[:-1] for name, _ in pairs if name.endswith("*")]
+    return {"type": "object", "properties": {name.rstrip("*"): {"type": kind} for name, kind in pairs}} | ({"required": needed} if needed else {})
+
+
 class Routes:
     """Answers by (method, path), without any HTTP, so that they can be tested alone."""
 
@@ -62,7 +80,12 @@ class Routes:
     def openapi(self, body):
         paths: dict = {}
         for (method, path), (_, text) in self.table.items():
-            paths.setdefault(path, {})[method.lower()] = {"summary": text, "responses": {"200": {"description": "OK"}}}
+            content = lambda fields: {"content": {"application/json": {"schema": _schema(fields)}}}
+            entry = {"summary": text, "responses": {"200": {"description": "OK", **content(_REPLIES.get(path, ""))}}}
+            if path in _REQUESTS:
+                entry["requestBody"] = {"required": True, **content(_REQUESTS[path])}
+                entry["responses"]["400"] = {"description": "The request can't be read", **content("error string")}
+            paths.setdefault(path, {})[method.lower()] = entry
         return {"openapi": "3.0.3", "info": {"title": "quillon", "version": "1"}, "paths": paths}
 
     def query(self, body):

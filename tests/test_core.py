@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 import zipfile
 
 import pytest
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillon.config import load_settings
-from quillon.engine import Index, Pipeline, Router, document
+from quillon.engine import Index, Pipeline, Router, Store, document
 from quillon.functions.columns import condition, cosine, vector
 from quillon.operators import evaluate, graph, keyword, prompt, search, split
 from quillon.operators.collection import Collection, collection_names
@@ -49,6 +50,19 @@ def test_long_line_after_a_cut_ends():
     assert [len(p) for p in split.character_windows("x" * 100 + "\n" + "y" * 1000, 512, 64)] == [100, 512, 512, 168]
 
 
+def test_longer_separators():
+    w = split.character_windows
+    assert w("one||two||three||four||five", 12, 2, "||") == ["one||two||", "||three||", "||four||five", "ve"]
+    assert w("aaa||bbb", 6, 1, "||") == ["aaa||", "|bbb"]
+    assert w("ab|" * 10, 9, 0, "|") == ["ab|ab|ab|"] * 3 + ["ab|"]
+
+
+def test_front_matter():
+    f = loaders.front_matter
+    assert f("---\ntitle: 'A: b'\nempty:\n: none\nplain\n---\n\nBody --- more\n") == ("Body --- more", {"title": "A: b"})
+    assert f("---\nno end") == ("---\nno end", {}) and f(" text ") == ("text", {}) and f("------x") == ("x", {})
+
+
 def test_splitters(spark):
     d = docs(spark, [("d", "a b c d e f g h", {"k": "v"}), ("e", " ", None), ("f", None, None)])
     rows = split.split_tokens(d, 3, 1).orderBy("chunk_index").collect()
@@ -113,12 +127,89 @@ def test_collection(spark, tmp_path):
     assert c.count() == 0
 
 
+def test_last_arrival_and_broken_writes(spark, tmp_path):
+    c = Collection(spark, str(tmp_path), "c")
+    kinds = "id string, text string, at int"
+    c.upsert(spark.createDataFrame([("a", "zzz old", 1), ("a", "aaa new", 2), ("b", "x", 3)], kinds))
+    assert {r.id: r.text for r in c.all().collect()} == {"a": "aaa new", "b": "x"}
+    c.upsert(spark.createDataFrame([("a", "first", 9), ("a", "second", 5)], kinds), "at")
+    assert {r.id: r.text for r in c.all().collect()} == {"a": "first", "b": "x"}
+    reader = c.all()
+    c.delete(["b"])
+    assert reader.count() == 2  # the snapshot before the last one stays
+    (tmp_path / "c" / "v-000000000099-broken").mkdir()  # a writer that died
+    assert [r.id for r in c.all().collect()] == ["a"] and collection_names(spark, str(tmp_path)) == ["c"]
+    index = Index(spark, str(tmp_path), "i")
+    index.add([document("old", id="x"), document("new", id="x")])
+    assert [r.text for r in index.collection.all().collect()] == ["new"]
+
+
+def test_keyword_index(spark, tmp_path):
+    from quillon.operators.keyword import KeywordIndex
+
+    d = docs(spark, [*HYBRID, ("d4", "", None), ("d5", None, None), ("d6", "the the cat", None)])
+    index = KeywordIndex(spark, str(tmp_path / "k"))
+    assert not index.exists()
+    index.build(d)
+    for query in ("cat the", "cat cat dog", "nothing", ""):
+        want = {r.id: r.score for r in keyword.bm25(d, query).collect()}
+        got = {r.key: r.score for r in index.scores(query).collect()}
+        assert index.exists() and set(got) <= set(want) and {i: got.get(i, 0.0) for i in want} == pytest.approx(want)
+
+
+def test_knowledge_graph_and_index_evaluation(spark, tmp_path):
+    kg = graph.KnowledgeGraph(spark)
+    kg.add(docs(spark, [("1", "Alice met Bob", None), ("2", "Bob saw Carol", None)]))
+    assert kg.counts() == {"entities": 3, "edges": 2} and kg.entity("BOB").first().documents == 2
+    assert {r.key for r in kg.neighbours("alice", 2).collect()} == {"bob", "carol"} and kg.related("Alice", 1).count() == 2
+    kg.add(docs(spark, [("2", "Dave left", None)]))
+    assert kg.counts() == {"entities": 3, "edges": 1}
+    kg.clear()
+    assert kg.counts() == {"entities": 0, "edges": 0}
+    index = Index(spark, str(tmp_path), "e")
+    index.add([document(t, id=i) for i, t, _ in HYBRID])
+    got = index.evaluate(["cat mat", "machine learning", "zebra"], [["d1"], ["d3"], []], 1)
+    assert got == {"queries": 3, "mrr": pytest.approx(2 / 3, abs=1e-6), "ndcg": pytest.approx(2 / 3, abs=1e-6), "recall": pytest.approx(2 / 3, abs=1e-6)}
+    with pytest.raises(ValueError):
+        index.evaluate(["a"], [])
+    assert isinstance(index.collection, Store)
+
+
+def test_cross_encoder_is_an_adapter():
+    from quillon.operators import search
+
+    assert search.scorer("lexical") is None and search.scorer("some/model").model == "some/model" and search.CrossEncoder()("q", []) == []
+    with pytest.raises(ImportError):
+        search.CrossEncoder("none")("q", ["t"])
+
+
+@pytest.mark.parametrize("metric", ["l2sq", "cosine", "dot"])
+def test_knn_join(spark, metric):
+    from quillon.operators.search import knn_join
+
+    rng = random.Random(5)
+    x = [[float(rng.randint(-3, 3)) or 1.0 for _ in range(4)] for _ in range(60)]
+    rows = spark.createDataFrame([(f"r{i:02d}", v) for i, v in enumerate(x)] + [("short", [1.0]), ("none", None)], "id string, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([(i, x[i]) for i in range(5)], "query_id long, embedding array<float>")
+
+    def d(a, b):
+        if metric == "l2sq":
+            return sum((p - q) ** 2 for p, q in zip(a, b))
+        dot = sum(p * q for p, q in zip(a, b))
+        return -dot if metric == "dot" else 1 - dot / (sum(p * p for p in a) * sum(q * q for q in b)) ** 0.5
+
+    got = {(r.query_id, r["rank"]): r.id for r in knn_join(asked, rows, 4, metric).collect()}
+    want = {(i, n + 1): key for i in range(5) for n, (_, key) in enumerate(sorted((round(d(x[i], v), 12) + 0.0, f"r{j:02d}") for j, v in enumerate(x))[:4])}
+    assert got == want
+    assert knn_join(asked.limit(0), rows, 4, metric).collect() == []
+
+
 HYBRID = [("d1", "the cat sat on the mat", {"k": "animals"}), ("d2", "the dog ran in the park", {"k": "animals"}), ("d3", "machine learning is great", {"k": "tech"})]
 
 
 def test_bm25_and_fusion(spark):
     d = docs(spark, HYBRID)
-    score = {r.id: r.score for r in keyword.bm25(d, "cat").collect()}
+    assert score == pytest.approx({"d1": 0.483622, "d2": 0.0, "d3": 0.0}, abs=1e-6)
     assert score == {"d1": 0.483622, "d2": 0.0, "d3": 0.0}
     assert {r.id: r.score for r in keyword.bm25(d, "cat sat mat").collect()}["d1"] == pytest.approx(1.450866, abs=1e-5)
     near = spark.createDataFrame([("d1", 0), ("d3", 1), ("d2", 2)], "id string, rank long")
@@ -278,6 +369,8 @@ def test_engine_and_services(spark, tmp_path):
     routes = Routes(index)
     assert routes.health({}) == {"status": "ok"} and routes.stats({})["documents"] == 3 and routes.collections({}) == {"collections": ["one"]}
     assert len(routes.query({"query": "cat", "top_k": 10**6})["results"]) == 3 and routes.add({"documents": ["new text", {"text": "x"}]})["total"] == 5
+    body = routes.openapi({})["paths"]["/query"]["post"]["requestBody"]["content"]["application/json"]["schema"]
+    assert body["required"] == ["query"] and body["properties"]["top_k"] == {"type": "integer"}
     assert "/query" in routes.openapi({})["paths"] and "cache" in routes.metrics({})
     assert mcp.answer(index, "{")["error"]["code"] == -32700 and mcp.answer(index, '{"id": 1, "method": "zzz"}')["error"]["code"] == -32601
     call = lambda name, **a: mcp.answer(index, json.dumps({"id": 1, "method": "tools/call", "params": {"name": name, "arguments": a}}))["result"]
