@@ -18,7 +18,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 TEXT = "the query planner merges hidden footnotes"
-_SHOWN = F.round("distance", 6).alias("distance")
+
+
+def _shown():
+    return F.round("distance", 6).alias("distance")
 
 
 def query(name: str, sql: str | None = None):
@@ -43,7 +46,7 @@ def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, list[float]]:
 def _vector_query(metric: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         rows, q = _vectors(spark, sf)
-        return search.ranked(search.top_k(rows, q, 10, None, metric, key="vec_id"), "vec_id").select("rank", "vec_id", "label", _SHOWN)
+        return search.ranked(search.top_k(rows, q, 10, None, metric, key="vec_id"), "vec_id").select("rank", "vec_id", "label", _shown())
 
     return run
 
@@ -69,7 +72,7 @@ for _m, _d in _DIST.items():
 )
 def vec_topk_filtered(spark, sf):
     rows, q = _vectors(spark, sf)
-    return search.ranked(search.top_k(rows, q, 10, F.col("label") == 3, key="vec_id"), "vec_id").select("rank", "vec_id", _SHOWN)
+    return search.ranked(search.top_k(rows, q, 10, F.col("label") == 3, key="vec_id"), "vec_id").select("rank", "vec_id", _shown())
 
 
 @query(
@@ -79,7 +82,7 @@ def vec_topk_filtered(spark, sf):
 )
 def vec_postfilter(spark, sf):
     rows, q = _vectors(spark, sf)
-    return search.post_filtered(rows, q, 10, F.col("label") == 3, key="vec_id").select("vec_id", _SHOWN)
+    return search.post_filtered(rows, q, 10, F.col("label") == 3, key="vec_id").select("vec_id", _shown())
 
 
 @query(
@@ -92,7 +95,7 @@ def vec_knn_join(spark, sf):
     """Queries: rows whose id is divisible by 100, against all rows."""
     rows = read_table(spark, sf, "embeddings")
     asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return search.knn_join(asked, rows, 5, "cosine", key="vec_id").select("query_id", "vec_id", _SHOWN, "rank")
+    return search.knn_join(asked, rows, 5, "cosine", key="vec_id").select("query_id", "vec_id", _shown(), "rank")
 
 
 @query(
@@ -102,7 +105,7 @@ def vec_knn_join(spark, sf):
 )
 def vec_topk_per_label(spark, sf):
     rows, q = _vectors(spark, sf)
-    return search.top_k_per_group(rows, q, "label", 3, key="vec_id").select("label", "vec_id", _SHOWN, "rank")
+    return search.top_k_per_group(rows, q, "label", 3, key="vec_id").select("label", "vec_id", _shown(), "rank")
 
 
 @query(
@@ -113,8 +116,8 @@ def vec_topk_per_label(spark, sf):
 )
 def router_merge(spark, sf):
     rows, q = _vectors(spark, sf)
-    each = {f"label{i}": search.top_k(rows, q, 5, F.col("label") == i, key="vec_id").select("vec_id", _SHOWN) for i in (1, 2, 3)}
-    return search.merged(each, 5, [*each, "unknown"], "vec_id").select("_collection", "vec_id", _SHOWN)
+    each = {f"label{i}": search.top_k(rows, q, 5, F.col("label") == i, key="vec_id").select("vec_id", _shown()) for i in (1, 2, 3)}
+    return search.merged(each, 5, [*each, "unknown"], "vec_id").select("_collection", "vec_id", _shown())
 
 
 @query(
@@ -338,7 +341,7 @@ def rerank_lexical(spark, sf):
 def parent_best_chunk(spark, sf):
     top = search.top_k(_documents(spark, sf), _query_vector(spark, sf), 30, key="doc_id").withColumn("source_id", F.col("source"))
     parents = read_table(spark, sf, "index_config").groupBy(F.col("collection").alias("id")).agg(F.max("persist_dir").alias("text")).withColumn("metadata", F.create_map().cast("map<string,string>"))
-    return search.best_parent(top, parents, 10).select("id", _SHOWN, content_id("text").alias("content"))
+    return search.best_parent(top, parents, 10).select("id", _shown(), content_id("text").alias("content"))
 
 
 # --- graph --------------------------------------------------------------------------------------------------------------
