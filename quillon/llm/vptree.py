@@ -262,6 +262,7 @@ def nearest(documents: DataFrame, k: int = 5, min_cosine: float | None = None, f
         sample = reps.sample(min(1.0, 1.2 * SAMPLE / count), seed=7).limit(SAMPLE).select("v").collect()
         tree = routing_tree(_stack([r[0] for r in sample]), -(-count // shard), np.random.default_rng(1))
     wanted = None if queries is None else settle(join_hot_queries(table, members, queries))
+    free(table, several, further)
     reach = 2.0 if min_cosine is None else float(np.sqrt(2 - 2 * min_cosine))
 
     def place(tree) -> DataFrame:
