@@ -1,15 +1,17 @@
-"""Nearest neighbours of every vector: vantage-point trees per shard, with relaxed triangle-inequality pruning.
+"""Nearest neighbours of every vector: vantage-point trees over shards and per shard, with relaxed triangle-inequality pruning.
 
-A vantage-point tree fitted on a bounded sample splits space into shards by distance to a vantage point (inside or
-outside its median radius), so that each vector has one home shard. Shards that come out large are split again by trees
-fitted on samples of their own. A query descends from the root to its home shard and, where |distance - radius| <=
-reach / factor, into the other side as well; reach is the largest distance at which neighbours still matter. Each shard
-has a vantage-point tree over all its vectors, searched by the same rule, for batches of queries at once, with the reach
-shrinking to the k-th best distance found. With factor 1 the triangle inequality proves that nothing is lost; a larger
-factor visits fewer places and may miss neighbours.
+A tree whose nodes hold many vantage points, fitted on a bounded sample, splits space into shards: each vector goes to the
+nearest vantage point, down to one home shard. Shards that come out large are split again by nodes fitted on samples of
+their own. A query descends to its home shard and to those places whose boundary plane with the nearest vantage point is
+within reach / factor (sqrt(2) of it, if less than the reach it began with); reach is the largest distance at which
+neighbours still matter. Each shard has a binary
+vantage-point tree over all its vectors (inside or outside the median distance to a vantage point; the other side is
+visited where |distance - radius| <= reach / factor), searched for batches of queries at once, with the reach shrinking
+to the k-th best distance found. With factor 1 the triangle inequality proves that nothing is lost; a larger factor
+visits fewer places and may miss neighbours. Where all vectors are queries, a pair met on a visit counts for both.
 
-Distance is the chord length of the unit vectors, sqrt(2 - 2 cos), a metric. All is computed in 64-bit numbers from the
-vectors as they are, and compared with a slack of SLACK, above the rounding errors of the distances.
+Visits are made in rounds of at most about ROUND per vector, each of which frees its files, so that the disk in use stays
+in proportion to the input however many visits there are.
 
 Defined results: vectors that are null, of another length than `dim`, all zero, or hold null or non-finite numbers take
 no part. Vectors equal after scaling (to 1e-6 in every component, i.e. cosines above 1 - 1e-10) are indexed once and
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -28,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.session import free, join_hot, join_small, settle, wide
+from quillon import session
+from quillon.session import free, join_hot, join_small, wide
 
 #: Rows the routing tree is fitted on at most. All rows are indexed.
 SAMPLE = 20_000
@@ -39,7 +43,13 @@ LEAF = 256
 LARGE, OWN_SAMPLE = 3, 8_000
 #: Queries from elsewhere that one task answers in a shard, about.
 VISITORS = 20_000
+#: Visits per vector in one round, about.
+ROUND = 4
 SLACK = 1e-7
+#: Numbers in one matrix of distances to vantage points.
+CELLS = 1_000_000
+
+settle = partial(session.settle, lean=True)
 
 
 def _distance(x: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -53,54 +63,77 @@ def _vantage(x: np.ndarray, rng: np.random.Generator) -> int:
     return int(tries[np.argmax(np.std(np.sqrt(np.maximum(2 - 2 * some @ x[tries].T, 0)), axis=0))])
 
 
-def routing_tree(x: np.ndarray, shards: int, rng: np.random.Generator):
-    """(vantage vector, radius, inner, outer); a leaf is a shard number."""
-    numbers = iter(range(1 << 30))
-
-    def grow(x: np.ndarray, shards: int):
-        if shards < 2 or len(x) < 16:
-            return next(numbers)
-        v = x[_vantage(x, rng)]
-        d = _distance(x, v)
-        radius = float(np.quantile(d, (shards // 2) / shards))
-        near = d <= radius
-        if near.all() or not near.any():
-            return next(numbers)
-        return v, radius, grow(x[near], shards // 2), grow(x[~near], shards - shards // 2)
+def _vantages(x: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """At most n vantage points, each in the middle of the rows nearest to it."""
+    u = x[rng.choice(len(x), n, replace=False)]
+    for _ in range(8):
+        near = _nearest(x, u)
+        u = np.zeros_like(u)
+        np.add.at(u, near, x)
+        long = np.linalg.norm(u, axis=1)
+        u = u[long > 1e-6] / long[long > 1e-6, None]
+    return u[np.unique(_nearest(x, u))]
+
+
+def _nearest(x: np.ndarray, u: np.ndarray) -> np.ndarray:
+    step = max(1, CELLS // len(u))
+    return np.concatenate([np.argmax(x[s : s + step] @ u.T, axis=1) for s in range(0, len(x), step)])
 
-    return grow(x, shards)
+
+def routing_tree(x: np.ndarray, shards: int, rng: np.random.Generator):
+    """(vantage vectors, a place for each); a place is a node or a shard number. A lone leaf if x can't be split."""
+    n = min(shards, len(x) // 16)
+    if n < 2:
+        return 0
+    u = _vantages(x, n, rng)
+    return (u, tuple(range(len(u)))) if len(u) > 1 else 0
 
 
 def graft(tree, grown: dict[int, bytes], numbers: Iterator[int]):
     """The tree with the leaves in `grown` replaced by trees, whose leaves get new numbers."""
 
     def renumber(node):
-        return next(numbers) if isinstance(node, int) else (*node[:2], renumber(node[2]), renumber(node[3]))
+        return next(numbers) if isinstance(node, int) else (node[0], tuple(map(renumber, node[1])))
 
     if isinstance(tree, int):
         return renumber(pickle.loads(grown[tree])) if tree in grown else tree
-    return (*tree[:2], graft(tree[2], grown, numbers), graft(tree[3], grown, numbers))
+    return tree[0], tuple(graft(t, grown, numbers) for t in tree[1])
 
 
 def route(tree, x: np.ndarray, reach: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, shard) pairs; home shards only if there is no reach, else all shards within it."""
+    """(row, shard) pairs; home shards only if there is no reach, else all shards within it. A vector of a place is at
+    least as near to its vantage point c as to the one b that is nearest to the query, so the query is within
+    (q b - q c) / |b - c| of it, the distance to the plane between them."""
     rows, where = [], []
 
     def walk(node, at: np.ndarray) -> None:
-        if not len(at):
-            return
         if isinstance(node, int):
             rows.append(at)
             where.append(np.full(len(at), node, np.int64))
             return
-        v, radius, inner, outer = node
-        d = _distance(x[at], v)
-        near = d <= radius
-        cross = np.zeros(len(at), bool) if reach is None else np.abs(d - radius) <= reach[at] + SLACK
-        walk(inner, at[near | cross])
-        walk(outer, at[~near | cross])
-
-    walk(tree, np.arange(len(x)))
+        u, places = node
+        between = np.sqrt(np.maximum(2 - 2 * (u @ u.T), 0))
+        step = max(1, CELLS // len(u))
+        to: list[list[np.ndarray]] = [[] for _ in places]
+        for s in range(0, len(at), step):
+            a = at[s : s + step]
+            dots = x[a] @ u.T
+            home = np.argmax(dots, axis=1)
+            if reach is None:
+                i, c = np.arange(len(a)), home
+            else:
+                gap = dots[np.arange(len(a)), home][:, None] - dots
+                i, c = np.nonzero(gap <= reach[a][:, None] * between[home] + SLACK)
+            order = np.argsort(c, kind="stable")
+            cuts = np.searchsorted(c[order], np.arange(len(places) + 1))
+            for p in np.unique(c):
+                to[p].append(a[i[order[cuts[p] : cuts[p + 1]]]])
+        for place, parts in zip(places, to):
+            if parts:
+                walk(place, np.concatenate(parts))
+
+    if len(x):
+        walk(tree, np.arange(len(x)))
     return np.concatenate(rows) if rows else np.empty(0, np.int64), np.concatenate(where) if where else np.empty(0, np.int64)
 
 
@@ -240,9 +273,9 @@ def _split_again(placed: DataFrame, tree, shard: int) -> tuple | int | None:
 
 def nearest(documents: DataFrame, k: int = 5, min_cosine: float | None = None, factor: float = 4.0, queries=None, dim: int = 64, column: str = "embedding", shard: int = SHARD) -> DataFrame:
     """doc_id, neighbour_id, cosine, rank 1..k: for every vector (or those of which the condition `queries` on doc_id
-    holds) its most similar other ones, of at least `min_cosine` if given. Two rounds: the home shard first, then the
+    holds) its most similar other ones, of at least `min_cosine` if given. Two steps: the home shard first, then the
     shards within the distance of the k-th best found so far. Each shard goes to a partition of its own; where very many
-    queries visit a shard, several tasks share them."""
+    queries visit a shard, several tasks share them, and visits beyond ROUND per vector wait for further rounds."""
     spark = documents.sparkSession
     table = settle(usable_vectors(documents, dim, column))
     heads = Window.partitionBy("same").orderBy("doc_id")
@@ -255,7 +288,6 @@ def nearest(documents: DataFrame, k: int = 5, min_cosine: float | None = None, f
     head = settle(few.groupBy("rep").agg(F.sort_array(F.collect_list("doc_id")).alias("head")))
     further = settle(members.where("doc_id <> rep").select("doc_id"))
     reps = settle(join_small(table.select("doc_id", "v"), further, "doc_id", "left_anti"))
-    single = join_small(reps.select("doc_id"), settle(members.select("doc_id")), "doc_id", "left_anti")
     count = reps.count()
     tree = 0
     if count > shard:
@@ -263,6 +295,7 @@ def nearest(documents: DataFrame, k: int = 5, min_cosine: float | None = None, f
         tree = routing_tree(_stack([r[0] for r in sample]), -(-count // shard), np.random.default_rng(1))
     wanted = None if queries is None else settle(join_hot_queries(table, members, queries))
     free(table, several, further)
+    both_ways = queries is None
     reach = 2.0 if min_cosine is None else float(np.sqrt(2 - 2 * min_cosine))
 
     def place(tree) -> DataFrame:
@@ -279,6 +312,8 @@ def nearest(documents: DataFrame, k: int = 5, min_cosine: float | None = None, f
         tree = more
         free(placed)
         placed = place(tree)
+    free(reps)
+    single = settle(join_small(placed.select("doc_id"), settle(members.select("doc_id")), "doc_id", "left_anti"))
 
     def at_home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def searched(number: int, rows: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -290,7 +325,9 @@ def nearest(documents: DataFrame, k: int = 5, min_cosine: float | None = None, f
                 some = asked.iloc[lo : lo + 10_000]
                 q, who = _stack(some["v"]), some["doc_id"].to_numpy()
                 sim, near = here.search(q, who, k, reach, factor)
-                at, where = route(tree, q, np.sqrt(np.maximum(2 - 2 * sim[:, -1], 0)) / factor)
+                # a distance to a far vantage point changes by less than that to a plane, about by 1 / sqrt(2) of it
+                left = np.minimum(np.sqrt(np.maximum(4 - 4 * sim[:, -1], 0)), reach)
+                at, where = route(tree, q, left / factor)
                 visits: list[list[int]] = [[] for _ in who]
                 for i, s in zip(at.tolist(), where.tolist()):
                     if s != number:
@@ -320,29 +357,46 @@ def nearest(documents: DataFrame, k: int = 5, min_cosine: float | None = None, f
             if here is None:
                 here = _Shard(held)
                 held = []
-            who = piece["doc_id"].to_numpy()
-            sim, near = here.search(_stack(piece["v"]), who, k, float(piece["bound"].max()), factor)
-            yield pd.DataFrame({"doc_id": who, "near": list(near), "sim": list(sim)})
+            who, bound = piece["doc_id"].to_numpy(), piece["bound"].to_numpy()
+            sim, near = here.search(_stack(piece["v"]), who, k, float(bound.max()), factor)
+            i, j = np.nonzero((near >= 0) & ((sim >= 1 - bound[:, None] ** 2 / 2 - 1e-12) | both_ways))
+            hit = pd.DataFrame({"doc_id": who[i], "near": near[i, j], "sim": sim[i, j]})
+            yield hit
+            if both_ways:
+                back = hit.set_axis(["near", "doc_id", "sim"], axis=1).sort_values(["doc_id", "sim", "near"], ascending=[True, False, True])
+                yield back[back.groupby("doc_id").cumcount() < k][["doc_id", "near", "sim"]]
 
     shards = placed.agg(F.max("shard")).first()[0] or 0
     n = wide(spark, min(shards + 1, 100_000))
     own = placed.repartitionById(n, F.pmod("shard", F.lit(n)).cast("int")).sortWithinPartitions("shard")
     first = settle(own.mapInPandas(at_home, "doc_id long, near array<long>, sim array<double>, v binary, visits array<long>"))
-    hits = first.select("doc_id", F.explode(F.arrays_zip("near", "sim")).alias("h"))
+    hits = first.select("doc_id", F.explode(F.arrays_zip("near", "sim")).alias("h")).select("doc_id", "h.near", "h.sim").where("near >= 0")
     if shards:
         far = first.where("v is not null").select("doc_id", "v", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.element_at("sim", -1))).alias("bound"), F.explode("visits").alias("shard"))
-        crowd = settle(far.groupBy("shard").count().where(F.col("count") > VISITORS).select("shard", F.ceil(F.col("count") / VISITORS).cast("int").alias("salts")))
-        n = wide(spark, min(shards + 1 + (crowd.agg(F.sum(F.col("salts") - 1)).first()[0] or 0), 100_000))
+        tally = settle(first.select(F.explode("visits").alias("shard")).groupBy("shard").count().withColumn("salts", F.ceil(F.col("count") / VISITORS).cast("int")))
+        rounds = int(max(1, -(-(tally.agg(F.sum("count")).first()[0] or 0) // (ROUND * count))))
+        of_round = F.pmod("shard", F.lit(rounds)).cast("int")
+        further = dict(tally.groupBy(of_round).agg(F.sum(F.col("salts") - 1)).collect())
+        crowd = F.broadcast(tally.where("salts > 1").select("shard", "salts"))  # at most visits / VISITORS rows
         salts = F.coalesce("salts", F.lit(1))
-        crowd = F.broadcast(crowd)  # at most visits / VISITORS rows
-        base = placed.join(crowd, "shard", "left").select("doc_id", "v", F.lit(0.0).alias("bound"), "shard", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("visitor"))
-        guests = far.join(crowd, "shard", "left").select("doc_id", "v", "bound", "shard", F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"), F.lit(1).alias("visitor"))
-        # the tasks of a crowded shard lie apart
-        to = F.pmod(F.col("shard") + F.col("salt") * 7919, F.lit(n)).cast("int")
-        both = base.unionByName(guests).repartitionById(n, to).sortWithinPartitions("shard", "salt", "visitor")
-        hits = hits.unionByName(both.mapInPandas(visiting, "doc_id long, near array<long>, sim array<double>").select("doc_id", F.explode(F.arrays_zip("near", "sim")).alias("h")))
-    hits = hits.select("doc_id", F.col("h.near").alias("near"), F.col("h.sim").alias("sim")).where("near >= 0")
-    return _spread(hits, members, head, single if wanted is None else single.join(wanted, "doc_id", "left_semi"), k, min_cosine, queries)
+        for r in range(rounds):
+            n = wide(spark, min(shards // rounds + 1 + (further.get(r) or 0), 100_000))
+            base = placed.where(of_round == r).join(crowd, "shard", "left").select("doc_id", "v", F.lit(0.0).alias("bound"), "shard", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(0).alias("visitor"))
+            guests = far.where(of_round == r).join(crowd, "shard", "left").select("doc_id", "v", "bound", "shard", F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"), F.lit(1).alias("visitor"))
+            # the tasks of a crowded shard lie apart
+            to = F.pmod(F.floor(F.col("shard") / rounds) + F.col("salt") * 7919, F.lit(n)).cast("int")
+            both = base.unionByName(guests).repartitionById(n, to).sortWithinPartitions("shard", "salt", "visitor")
+            met = settle(_best(both.mapInPandas(visiting, "doc_id long, near long, sim double"), k))
+            hits = hits.unionByName(met)
+    out = _spread(hits, members, head, single if wanted is None else single.join(wanted, "doc_id", "left_semi"), k, min_cosine, queries)
+    free(first, placed, head)
+    return out
+
+
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    """The k best of each doc_id; a pair met twice counts once."""
+    once = hits.repartition("doc_id").groupBy("doc_id", "near").agg(F.max("sim").alias("sim"))
+    return once.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("sim"), "near"))).where(F.col("n") <= k).drop("n")
 
 
 def join_hot_queries(table: DataFrame, members: DataFrame, queries) -> DataFrame:
@@ -354,8 +408,7 @@ def join_hot_queries(table: DataFrame, members: DataFrame, queries) -> DataFrame
 
 def _spread(hits: DataFrame, members: DataFrame, head: DataFrame, single: DataFrame, k: int, min_cosine: float | None, queries) -> DataFrame:
     """From neighbours between representatives to k neighbours of every copy."""
-    top = Window.partitionBy("rep").orderBy(F.desc("sim"), "near")
-    best = hits.select(F.col("doc_id").alias("rep"), "near", "sim").withColumn("n", F.row_number().over(top)).where(F.col("n") <= k)
+    best = _best(hits, k).withColumnRenamed("doc_id", "rep")
     # a neighbour stands for itself and its first copies
     wide_ = best.join(head.withColumnRenamed("rep", "near"), "near", "left").select("rep", F.explode(F.coalesce("head", F.array("near"))).alias("near"), F.least(F.lit(1.0), "sim").alias("cosine"))
     copies = head.select("rep", F.explode("head").alias("near"), F.lit(1.0).alias("cosine"))

@@ -34,13 +34,25 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def settle(df: DataFrame) -> DataFrame:
+#: Spark's setting by which the shuffle files of an execution go when it ends, not when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def settle(df: DataFrame, lean: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, nothing is computed twice, and the loss of an
-    executor costs nothing. Unlike an eager checkpoint() the plan runs once. Files are removed when the program ends."""
+    executor costs nothing. Unlike an eager checkpoint() the plan runs once. Files are removed when the program ends;
+    with `lean`, shuffle files of the plan as soon as it has run."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    if lean:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if lean:
+            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     if not _written:
         atexit.register(sweep)
     _written.append((spark, path))

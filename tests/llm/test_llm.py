@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -375,6 +376,44 @@ def test_near_copies_are_told_apart(spark):
     assert found == {i: set(map(int, want[i])) for i in range(len(x))}
 
 
+def test_few_shards_are_visited():
+    """With 400 shards of vectors with little structure, a tenth of them at most, and yet all near pairs meet."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    across = rng.normal(size=(2_000, 64))
+    across -= (across * x[:2_000]).sum(axis=1, keepdims=True) * x[:2_000]
+    y = 0.92 * x[:2_000] + np.sqrt(1 - 0.92**2) * across / np.linalg.norm(across, axis=1, keepdims=True)
+    tree = vptree.routing_tree(x, 400, np.random.default_rng(1))
+    met = []
+    for q, other in ((x[:2_000], y), (y, x[:2_000])):
+        row, shard = vptree.route(tree, q, np.full(len(q), np.sqrt(0.2) / 3))
+        assert len(row) < 0.1 * 400 * len(q)
+        home = dict(zip(*(a.tolist() for a in vptree.route(tree, other, None))))
+        met.append({r for r, s in zip(row.tolist(), shard.tolist()) if home[r] == s})
+    assert len(met[0] | met[1]) >= 0.999 * 2_000
+
+
+def test_rounds_of_visits_are_exact_and_leave_no_shuffle_files(spark, monkeypatch):
+    x = vectors()
+    want, _ = exact(x, 5)
+    before = set(shuffle_files(spark))
+    monkeypatch.setattr(vptree, "ROUND", 0.5, raising=False)
+    got = vptree.nearest(vector_table(spark, x), 5, factor=1.0, dim=16, shard=40)
+    left = set(shuffle_files(spark)) - before
+    found = defaultdict(set)
+    for r in got.collect():
+        found[r.doc_id].add(r.neighbour_id)
+    assert found == {i: set(map(int, want[i])) for i in range(len(x))}
+    assert not left
+
+
+def shuffle_files(spark):
+    """Shuffle files of a block manager on this machine."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return [p for f in folders for p in Path(f).rglob("shuffle_*.data")]
+
+
 def test_nearest_recall_and_queries(spark):
     x = vectors()
     want, _ = exact(x, 5)
